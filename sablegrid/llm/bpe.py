@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .flat import BLOCK_BYTES, U64, Texts, blocks, expand, hash_ranges
 from .pretoken import spaced_pieces
 
-NONE = np.int64(1) << 40
+NONE = 1 << 40
 CACHE_PIECES = 1_500_000
 
 

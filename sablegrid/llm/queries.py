@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, tokenfile
+from . import bpe, fst, packing, tokenfile
 from .session import documents, ship
 
 
@@ -19,10 +19,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(ship(spark), sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by compiled transducers."""
+    return fst.count_tokens(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as flat files and read back."""
     return tokenfile.token_files(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op8_token_counts, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fst, packing, tokenfile
+from . import bpe, fst, linededup, packing, quality, tokenfile
 from .session import documents, ship
 
 
@@ -14,11 +14,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and line-frequency verdict of every document."""
+    return quality.line_quality(documents(ship(spark), sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(documents(ship(spark), sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of repeated three-line windows."""
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by compiled transducers."""
     return fst.count_tokens(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -29,5 +39,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op8_token_counts, op9_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op8_token_counts, op9_token_files)}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fst, linededup, packing, quality, tokenfile
+from . import bpe, fst, jaccard, linededup, packing, quality, tokenfile
 from .session import documents, ship
 
 
@@ -29,6 +29,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles overlap by three quarters."""
+    return jaccard.jaccard_components(documents(ship(spark), sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by compiled transducers."""
     return fst.count_tokens(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -39,5 +44,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op8_token_counts, op9_token_files)}
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op5_jaccard, op8_token_counts, op9_token_files)}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL, "op5_jaccard": jaccard.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fst, jaccard, linededup, packing, quality, tokenfile
+from . import bpe, epsgrid, fst, jaccard, linededup, packing, quality, tokenfile
 from .session import documents, ship
 
 
@@ -44,5 +44,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op5_jaccard, op8_token_counts, op9_token_files)}
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL, "op5_jaccard": jaccard.SQL}
+def op10_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings with a cosine of at least 0.9."""
+    return epsgrid.near_vectors(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op5_jaccard, op8_token_counts, op9_token_files, op10_epsilon_grid)}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL, "op5_jaccard": jaccard.SQL, "op10_epsilon_grid": epsgrid.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, epsgrid, fst, jaccard, linededup, packing, quality, tokenfile
+from . import bpe, epsgrid, fst, jaccard, langid, linededup, packing, quality, tokenfile, toxicity
 from .session import documents, ship
 
 
@@ -34,6 +34,18 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(ship(spark), sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = documents(ship(spark), sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit_grammar(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = documents(ship(spark), sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by compiled transducers."""
     return fst.count_tokens(documents(ship(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,5 +61,5 @@ def op10_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsgrid.near_vectors(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op5_jaccard, op8_token_counts, op9_token_files, op10_epsilon_grid)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_frequency, op3_packing, op4_line_dedup, op5_jaccard, op6_toxicity, op7_language, op8_token_counts, op9_token_files, op10_epsilon_grid)}
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.SQL, "op4_line_dedup": linededup.SQL, "op5_jaccard": jaccard.SQL, "op10_epsilon_grid": epsgrid.SQL}

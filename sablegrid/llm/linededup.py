@@ -14,11 +14,25 @@ from pyspark.sql import functions as F
 
 from .session import stage
 
+_END = 1 << 30
 
-def _filled(text: Column) -> Column:
-    """Places of the lines that hold more than white space."""
-    places = F.transform(F.split(text, "\n"), lambda line, i: F.when(F.trim(F.regexp_replace(line, r"[\x09-\x0D]", " ")) != "", i))
-    return F.filter(places, lambda p: p.isNotNull())
+
+def _once(df: DataFrame, *values: tuple[str, Column]) -> DataFrame:
+    """Add columns that are computed once a row and not again wherever a lambda names them."""
+    for name, value in values:
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
+def _windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (_d_id, _d_hash, _d_window, _d_a, _d_b, _d_c): hash and lines of every window."""
+    filled = F.transform(F.split(text_col, "\n"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(line).alias("h"), i.alias("p"))))
+    docs = df.select(F.col(id_col).alias("_d_id"), F.xxhash64(text_col).alias("_d_hash"), F.explode(F.array(F.filter(filled, lambda x: x.isNotNull()))).alias("_d_lines"))
+    h, p = F.col("_d_lines.h"), F.col("_d_lines.p")
+    two = F.zip_with(h, F.slice(h, 2, _END), lambda a, b: F.xxhash64(a, b))
+    three = F.zip_with(two, F.slice(h, 3, _END), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
+    zipped = F.arrays_zip(three.alias("_d_window"), p.alias("_d_a"), F.slice(p, 2, _END).alias("_d_b"), F.slice(p, 3, _END).alias("_d_c"))
+    return docs.select("_d_id", "_d_hash", F.inline(zipped)).where("_d_c is not null")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,26 +46,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     an empty table gives an empty result.
     """
     text = F.col(text_col)
-    docs = df.select(F.col(id_col).alias("_d_id"), F.xxhash64(text).alias("_d_hash"), F.split(text, "\n").alias("_d_lines"), _filled(text).alias("_d_filled"))
-    window = F.transform(F.sequence(F.lit(0), F.size("_d_filled") - 3), lambda k: F.xxhash64(*(F.get("_d_lines", F.get("_d_filled", k + j)) for j in range(3))))
-    places = F.posexplode(window).alias("_d_at", "_d_window")
-    windows = docs.where(F.size("_d_filled") >= 3).select("_d_id", "_d_hash", places)
-    here = F.struct("_d_id", "_d_hash", "_d_at")
+    windows = _windows(df, id_col, text_col)
+    here = F.struct("_d_id", "_d_hash", "_d_a")
     seen = windows.groupBy("_d_window").agg(F.count(F.lit(1)).alias("_d_count"), F.min(here).alias("_d_first"))
     repeated = stage(seen.where("_d_count > 1").select("_d_window", "_d_first"), "line-windows")
     later = windows.join(repeated, "_d_window").where(~here.eqNullSafe(F.col("_d_first")))
-    merged = later.groupBy("_d_id", "_d_hash").agg(F.collect_set("_d_at").alias("_d_starts"))
-    covered = F.array_distinct(F.flatten(F.transform("_d_starts", lambda s: F.sequence(s, s + 2)))).alias("_d_covered")
-    merged = merged.select(F.col("_d_id").alias("_d_key"), F.col("_d_hash").alias("_d_key_hash"), covered)
+    merged = later.groupBy("_d_id", "_d_hash").agg(F.array_distinct(F.flatten(F.collect_set(F.array("_d_a", "_d_b", "_d_c")))).alias("_d_covered"))
+    merged = stage(merged.select(F.col("_d_id").alias("_d_key"), F.col("_d_hash").alias("_d_key_hash"), "_d_covered"), "line-covers")
     rows = df.withColumn("_d_hash", F.xxhash64(text))
     joined = rows.join(merged, rows[id_col].eqNullSafe(merged["_d_key"]) & (F.col("_d_hash") == F.col("_d_key_hash")), "left")
-    gone = F.transform("_d_covered", lambda k: F.get(_filled(text), k))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    joined = _once(joined, ("_d_lines", F.split(text, "\n")))
     hit = F.col("_d_covered").isNotNull()
+    left = F.array_except(F.sequence(F.lit(0), F.size("_d_lines") - 1), F.col("_d_covered"))
+    rest = F.array_join(F.transform(left, lambda i: F.get("_d_lines", i)), "\n")
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
     return joined.select(
-        *(F.when(hit, left).otherwise(text).alias(c) if c == text_col else F.col(c) for c in kept),
-        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+        *(F.when(hit, rest).otherwise(text).alias(c) if c == text_col else F.col(c) for c in kept),
+        F.when(text.isNull(), 0).otherwise(F.size("_d_lines")).cast("long").alias("n_lines"),
         F.when(hit, F.size("_d_covered")).otherwise(0).cast("long").alias("n_removed_lines"),
     )
 

@@ -15,35 +15,23 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import U64, _mix
 from .graph import components
-from .session import stage
+from .session import arrow_rows, stage
 
 DIRECTIONS, FANOUT, RUN = 8, 8, 128
 SAMPLE = 10_000  # vectors that the principal directions are fitted on; any directions give whole results
 BLOCK_BYTES = 512 << 10
 
 
-@contextmanager
-def _rows_per_batch(spark: SparkSession, rows: int):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _read(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Rows (vec, dim, sig1, sig2, raw): raw is the vector in doubles, or null where it links with nothing."""
     schema = T.StructType([T.StructField("vec", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("sig1", T.LongType()), T.StructField("sig2", T.LongType()), T.StructField("raw", T.BinaryType())])
@@ -242,7 +230,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         first = F.array(*(F.lit(bases.get(p, 0)) for p in range(max(bases) + 1)))
         cut = cut.withColumn("block", F.get(first, F.col("part").cast("int")) + F.col("place"))
         pairs = _interval_pairs(cut.select("block", "low", "high"), sum(n for _, n in parts), far)
-        with _rows_per_batch(spark, 8):
+        with arrow_rows(spark, 8):
             near = stage(_compare(pairs, cut, directions, cosine, far), "grid-links")
         found = near if found is None else found.union(near)
     if found is None:

@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 
 from .flat import U64, Texts, _mix, ascii_words, blocks, expand, hash_ranges
 from .graph import components
-from .session import stage
+from .session import arrow_rows, stage
 
 WORDS = 5
 ROUNDS = 3
+ROWS = 256  # rows of packed sets in an Arrow batch
+BLOCK_SHINGLES = 600_000  # shingles that a task holds before it sends them
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -92,11 +94,11 @@ def _to_ranges(docs: DataFrame, bits: int, id_col: str, text_col: str, words: in
             # The table of the block's documents takes its way through some range.
             return pa.RecordBatch.from_arrays([pa.array([*used, block % (1 << bits)], pa.int32()), pa.array([block] * (len(used) + 1)), pa.array([*[None] * len(used), table], pa.binary()), pa.array([*entries, None], pa.binary())], names=schema.names)
 
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, 1 << 20):
             for piece in (batch.slice(k, 1 << 14) for k in range(0, batch.num_rows, 1 << 14)):
                 h, bounds = shingle_sets(Texts(piece.column(text_col)), words)
                 held.append((piece.column(id_col).cast(pa.int64()).to_numpy(), np.diff(bounds), h))
-                if sum(len(x[2]) for x in held) > 2_000_000 or sum(len(x[0]) for x in held) > 3 << 14:
+                if sum(len(x[2]) for x in held) > BLOCK_SHINGLES or sum(len(x[0]) for x in held) > 3 << 14:
                     yield send()
                     block, held = block + 1, []
         if held:
@@ -215,7 +217,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(100 * both >= percent * (na + nb - both))], names=schema.names)
 
     side = lambda c: sets.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"s{c}"))
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema), "jaccard-pairs")
+    with arrow_rows(pairs.sparkSession, ROWS):
+        return stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema), "jaccard-pairs")
 
 
 def _open_entries(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -276,7 +279,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = stage(filled.groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep")), "jaccard-classes")
     docs = df.select(id_col, text_col).join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi")
     bits = max(4, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
-    sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words)), percent), "jaccard-candidates")
+    with arrow_rows(spark, ROWS):
+        sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words)), percent), "jaccard-candidates")
     labels = None if sets.isEmpty() else _near_components(sets, percent)
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")

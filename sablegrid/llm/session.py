@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +60,15 @@ def delete(spark: SparkSession, path: str) -> None:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Plan what is run inside with at most so many rows in an Arrow batch: rows that are large need few."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -277,7 +277,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = stage(_signatures(df, id_col, text_col, words), "jaccard-sets")
     filled = signed.where("n > 0 and doc is not null")
     classes = stage(filled.groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep")), "jaccard-classes")
-    docs = df.select(id_col, text_col).join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi")
+    docs = df.select(id_col, text_col).join(classes.select(F.col("rep").alias(id_col)).hint("merge"), id_col, "left_semi")
     bits = max(4, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     with arrow_rows(spark, ROWS):
         sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words)), percent), "jaccard-candidates")

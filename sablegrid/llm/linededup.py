@@ -4,7 +4,8 @@ Lines with something on them are hashed three at a time. A window's occurrences
 first one found by an aggregation that combines in the tasks; windows seen once drop out there. The
 others go to the shared folder, so that the join back to the occurrences has a plain exchange on
 either side and a very common window is split by adaptive execution. Occurrences after the first
-cover their three lines; overlapping ones merge, and the covered lines go.
+cover their three lines; overlapping ones merge, and the covered lines go. Both joins are sort-merge
+joins at every size: what they would broadcast grows with the input.
 """
 
 from __future__ import annotations
@@ -50,11 +51,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     here = F.struct("_d_id", "_d_hash", "_d_a")
     seen = windows.groupBy("_d_window").agg(F.count(F.lit(1)).alias("_d_count"), F.min(here).alias("_d_first"))
     repeated = stage(seen.where("_d_count > 1").select("_d_window", "_d_first"), "line-windows")
-    later = windows.join(repeated, "_d_window").where(~here.eqNullSafe(F.col("_d_first")))
+    later = windows.join(repeated.hint("merge"), "_d_window").where(~here.eqNullSafe(F.col("_d_first")))
     merged = later.groupBy("_d_id", "_d_hash").agg(F.array_distinct(F.flatten(F.collect_set(F.array("_d_a", "_d_b", "_d_c")))).alias("_d_covered"))
     merged = stage(merged.select(F.col("_d_id").alias("_d_key"), F.col("_d_hash").alias("_d_key_hash"), "_d_covered"), "line-covers")
     rows = df.withColumn("_d_hash", F.xxhash64(text))
-    joined = rows.join(merged, rows[id_col].eqNullSafe(merged["_d_key"]) & (F.col("_d_hash") == F.col("_d_key_hash")), "left")
+    joined = rows.join(merged.hint("merge"), rows[id_col].eqNullSafe(merged["_d_key"]) & (F.col("_d_hash") == F.col("_d_key_hash")), "left")
     joined = _once(joined, ("_d_lines", F.split(text, "\n")))
     hit = F.col("_d_covered").isNotNull()
     left = F.array_except(F.sequence(F.lit(0), F.size("_d_lines") - 1), F.col("_d_covered"))

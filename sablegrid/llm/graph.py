@@ -20,8 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("low"))
-        lower = stage(lower, "labels")
-        jump = lower.select(F.col("node").alias("to"), F.col("low").alias("its"))
+        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("its"))
         new = stage(lower.join(jump, lower["low"] == jump["to"], "left").select("node", "component", F.least("low", "its").alias("new")), "labels")
         labels = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():

@@ -29,7 +29,9 @@ from .graph import components
 from .session import arrow_rows, stage
 
 WORDS = 5
-ROUNDS = 3
+ROUNDS = 3  # most rounds that compare a list's members with one of them
+SCAN_COST = 4
+PAIRS_PER_ENTRY = 0.5  # with so few pairs left for each entry of the lists, all are compared
 ROWS = 256  # rows of packed sets in an Arrow batch
 BLOCK_SHINGLES = 600_000  # shingles that a task holds before it sends them
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -146,8 +148,8 @@ def _to_blocks(ranges: DataFrame) -> DataFrame:
 
 
 def _candidates(replies: DataFrame, percent: int) -> DataFrame:
-    """Sets with enough shared shingles: size, all shared ones rarest first, the prefix, and its lists' length."""
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("scan", T.LongType())])
+    """Sets with enough shared shingles: size, all shared ones rarest first, and the prefix."""
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, bytes] = {}
@@ -170,27 +172,29 @@ def _candidates(replies: DataFrame, percent: int) -> DataFrame:
             keep = good[place]
             place, frequency, key = place[keep], frequency[keep], key[keep]
             order = np.lexsort((key, frequency, place))
-            key, frequency = key[order], frequency[order].astype(np.int64)
+            key = key[order]
             docs = np.flatnonzero(good)
             if not len(docs):
                 continue
             ends = np.cumsum(held[docs])
             starts = ends - held[docs]
             room = np.minimum((held - least)[docs] + 2, held[docs])
-            total = np.concatenate([[0], np.cumsum(frequency)])
             raw = key.view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[docs]), pa.array(sizes[docs]), pa.array([key[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(raw[expand(starts, room)])),
-                 pa.array(total[starts + np.maximum(room - 1, 0)] - total[starts])], names=schema.names)
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(raw[expand(starts, room)]))], names=schema.names)
 
     return replies.repartition("block").mapInArrow(run, schema)
 
 
 def _boundary(sets: DataFrame) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists does."""
+    """The size up to which enumerating subsets costs less than scanning lists does.
+
+    A subset is one row. A list's entry is a row too, met again by the list's pivot and, as one shingle
+    selects less than two, by comparisons; ``SCAN_COST`` rows in all.
+    """
     k = F.size("prefix")
-    costs = sets.groupBy(F.ceil(2 * F.log2("n")).alias("step")).agg(F.sum(k * (k - 1) / 2).alias("subsets"), F.sum("scan").alias("scan")).collect()  # a row for each half power of two
+    costs = sets.groupBy(F.ceil(2 * F.log2("n")).alias("step")).agg(F.sum(k * (k - 1) / 2).alias("subsets"), F.sum(SCAN_COST * k).alias("scan")).collect()  # a row for each half power of two
     costs = sorted((r["step"], float(r["subsets"]), float(r["scan"])) for r in costs)
     best = min(range(len(costs) + 1), key=lambda k: (sum(c[1] for c in costs[:k]) + sum(c[2] for c in costs[k:]), k))
     return int(2 ** (costs[best - 1][0] / 2)) if best else 0
@@ -221,37 +225,49 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema), "jaccard-pairs")
 
 
-def _open_entries(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of the keys that still hold two components, with each entry's component."""
-    if labels is None:
-        return entries.withColumn("component", F.col("doc"))
     now = entries.drop("component").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     now = stage(now, "jaccard-entries")
-    keys = stage(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "jaccard-keys")
+    keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return stage(now.join(keys, "key"), "jaccard-entries")
 
 
+def _with_one(entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each key's members with one of them; of these a set takes the two that it meets most."""
+    pivot = F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("size"))
+    pivots = entries.groupBy("key").agg(F.min(pivot).alias("p")).select("key", "p.pivot", "p.of", "p.size")
+    met = entries.join(pivots, "key").where("component <> of").where(100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
+    met = met.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("times", "pivot")), False), 1, 2)
+    return met.groupBy("doc").agg(best.alias("best")).select("doc", F.explode("best.pivot").alias("pivot")).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a key's members in different components."""
+    one, two = (entries.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("doc", "n", "component"))) for k in "ab")
+    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = one.join(two, "key").where("componenta < componentb").where(close)
+    return pairs.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+
+
 def _near_components(sets: DataFrame, percent: int) -> DataFrame | None:
     """Rows (node, component) of the sets that have links."""
     entries = _entries(sets, _boundary(sets), percent)
-    keys = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.bool_or("meets").alias("meets")).where("held > 1 and meets").select("key"), "jaccard-keys")
-    entries = stage(entries.drop("meets").join(keys, "key"), "jaccard-entries")
-    labels, tested, links = None, None, None
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.bool_or("meets").alias("meets")).where("held > 1 and meets").select("key")
+    entries = stage(entries.drop("meets").join(keys, "key").withColumn("component", F.col("doc")), "jaccard-entries")
+    if entries.isEmpty():
+        return None
+    total, tested, links = entries.count(), None, None
     for turn in range(ROUNDS + 1):
-        entries = _open_entries(entries, labels)
-        if entries.isEmpty():
-            break
-        if turn < ROUNDS:  # each key's members against one of them; of these a set takes the two it meets most
-            pivots = stage(entries.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("size"))).alias("p")).select("key", "p.pivot", "p.of", "p.size"), "jaccard-pivots")
-            met = entries.join(pivots, "key").where("component <> of").where(100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
-            met = met.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("times"))
-            best = F.slice(F.sort_array(F.collect_list(F.struct("times", "pivot")), False), 1, 2)
-            pairs = met.groupBy("doc").agg(best.alias("best")).select("doc", F.explode("best.pivot").alias("pivot"))
-            pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        else:
-            one, two = (entries.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("doc", "n", "component"))) for k in "ab")
-            close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            pairs = one.join(two, "key").where("componenta < componentb").where(close).select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+        if turn:
+            entries = _open_entries(entries, labels)
+            per = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]  # pairs across components
+            if not left:
+                break
+        last = turn == ROUNDS or (turn and left <= PAIRS_PER_ENTRY * total)
+        pairs = _across(entries, percent) if last else _with_one(entries, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = _links(pairs, sets, percent)
@@ -259,6 +275,8 @@ def _near_components(sets: DataFrame, percent: int) -> DataFrame | None:
         new = found.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         labels = components(links)
+        if last:
+            break
     return labels
 
 

@@ -81,7 +81,6 @@ def text_figures(texts: Texts) -> dict[str, np.ndarray]:
         "n_symbols": sums_by(_SYMBOL[data], texts.offsets),
         "n_dup_lines": sums_by(again, bounds),
         "n_repeat_words": sums_by(in_repeat, firsts),
-        "text_hash": hash_ranges(texts.words8, texts.offsets[:-1], np.diff(texts.offsets)).view(np.int64),
         "line_bounds": bounds,
         "line_keys": keys.view(np.int64),
         "line_words": words[filled],
@@ -96,45 +95,52 @@ def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Judge every document by the lines that its host repeats.
 
     Returns one row per input row: ``id_col``, the base counts, ``base_failed``, ``n_removed_words``
-    (in lines above the limits) and ``kept``. With ``keep`` all columns of ``df`` come too, the text
-    without the removed lines. Null and empty texts have no words and fail the base rules. Documents
-    without a host form one host. Repeated rows are judged alike; ids may be null or repeat; own
-    columns carry the prefix ``_q_``, so that others cannot clash; an empty table gives an empty
-    result.
+    (in lines above the limits) and ``kept``. With ``keep`` all columns of ``df`` come instead, the text
+    without the removed lines, and the results with the prefix ``_q_``. Null and empty texts have no
+    words and fail the base rules. Documents without a host form one host. Repeated rows are judged
+    alike; ids may be null or repeat; only three columns are read, and own ones carry the prefix
+    ``_q_``, so that others cannot clash; an empty table gives an empty result.
     """
-    own = {"_q_id": T.LongType(), "_q_host": T.StringType(), **{f"_q_{c}": T.LongType() for c in (*BASE, "text_hash")}, "_q_keys": T.ArrayType(T.LongType()), "_q_words": T.ArrayType(T.LongType()), "_q_places": T.ArrayType(T.LongType())}
-    taken = df.columns if keep else list(dict.fromkeys([id_col, text_col, host_col]))
-    carried = df.columns if keep else [id_col]
-    schema = T.StructType([*(df.schema[c] for c in carried), *(T.StructField(k, v) for k, v in own.items())])
+    lists = ("_q_keys", "_q_words", "_q_places")
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("_q_host", T.StringType()), T.StructField("_q_hash", T.LongType()), T.StructField("_q_id", T.LongType()), *(T.StructField(f"_q_{c}", T.LongType()) for c in BASE), *(T.StructField(c, T.ArrayType(T.LongType())) for c in lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, part = 0, TaskContext.get().partitionId() << 40
         for batch in blocks(batches, text_col):
             f = text_figures(Texts(batch.column(text_col)))
-            lists = [pa.ListArray.from_arrays(pa.array(f["line_bounds"], pa.int32()), pa.array(f[k], pa.int64())) for k in ("line_keys", "line_words", "line_places")]
-            columns = [*(batch.column(c) for c in carried), pa.array(part + row + np.arange(batch.num_rows)), batch.column(host_col).cast(pa.string()), *(pa.array(f[c], pa.int64()) for c in (*BASE, "text_hash")), *lists]
+            arrays = [pa.ListArray.from_arrays(pa.array(f["line_bounds"], pa.int32()), pa.array(f[k], pa.int64())) for k in ("line_keys", "line_words", "line_places")]
+            columns = [*(batch.column(c) for c in (id_col, "_q_host", "_q_hash")), pa.array(part + row + np.arange(batch.num_rows)), *(pa.array(f[c], pa.int64()) for c in BASE), *arrays]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             row += batch.num_rows
 
-    judged = stage(df.select(*taken).mapInArrow(run, schema), "quality")
-    line = F.explode(F.arrays_zip(F.col("_q_keys").alias("key"), F.col("_q_words").alias("words"), F.col("_q_places").alias("place"))).alias("line")
-    host = F.coalesce(F.concat(F.lit("="), "_q_host"), F.lit("")).alias("host")
-    lines = judged.select("_q_id", host, "_q_text_hash", line).select("_q_id", "host", "_q_text_hash", "line.*")
+    host_of = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("_q_host")
+    text_hash = F.xxhash64(text_col).alias("_q_hash")
+    judged = stage(df.select(id_col, text_col, host_of, text_hash).mapInArrow(run, schema), "quality")
+    line = F.explode(F.arrays_zip(*(F.col(c).alias(n) for c, n in zip(lists, ("key", "words", "place"), strict=True)))).alias("line")
+    lines = judged.select("_q_id", F.col("_q_host").alias("host"), "_q_hash", line).select("_q_id", "host", "_q_hash", "line.*")
     # Distinct documents of a line: texts are made distinct first, then counted; both are combined in the tasks.
-    held = lines.groupBy("host", "key", "_q_text_hash").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("one").alias("documents")).where(F.col("documents") > MIN_DOCUMENTS)
-    hosts = judged.select(host, "_q_text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    held = lines.groupBy("host", "key", "_q_hash").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("one").alias("documents")).where(F.col("documents") > MIN_DOCUMENTS)
+    hosts = judged.select(F.col("_q_host").alias("host"), "_q_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     frequent = stage(held.join(hosts, "host").where(F.col("documents") > HOST_SHARE * F.col("of")).select("host", "key"), "quality-lines")
     hit = lines.select("_q_id", "host", "key", "words", "place").join(frequent, ["host", "key"])
-    removed = hit.groupBy("_q_id").agg(F.sum("words").alias("_q_removed"), *([F.collect_set("place").alias("_q_gone")] if keep else []))
-    out = judged.drop("_q_keys", "_q_words", "_q_places", "_q_host", "_q_text_hash").join(removed, "_q_id", "left")
+    removed = hit.groupBy("_q_id").agg(F.sum("words").alias("_q_removed"), F.collect_set("place").alias("_q_gone"))
+    out = judged.drop(*lists).join(removed, "_q_id", "left")
     gone = F.coalesce("_q_removed", F.lit(0))
     failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
-    verdict = [*(F.col(f"_q_{c}").alias(c) for c in BASE), failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & (F.col("_q_n_words") - gone >= LEAST_LEFT * F.col("_q_n_words"))).alias("kept")]
+    verdict = {**{c: F.col(f"_q_{c}") for c in BASE}, "base_failed": failed, "n_removed_words": gone, "kept": ~failed & (F.col("_q_n_words") - gone >= LEAST_LEFT * F.col("_q_n_words"))}
     if not keep:
-        return out.select(id_col, *verdict)
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_q_gone", i.cast("long"))), "\n")
-    text = F.when(F.col("_q_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
-    return out.select(*(text if c == text_col else F.col(c) for c in df.columns), *(v.alias(f"_q_{n}") for v, n in zip(verdict, (*BASE, "base_failed", "removed_words", "kept"), strict=True)))
+        return out.select(id_col, *(v.alias(n) for n, v in verdict.items()))
+    # Rows are found again by id, host and text; those that share all three share their verdict.
+    key = ["_q_doc", "_q_host", "_q_hash"]
+    told = out.select(F.col(id_col).alias("_q_doc"), "_q_host", "_q_hash", "_q_gone", *(v.alias(f"_q_{n}") for n, v in verdict.items()))
+    told = told.groupBy(*key).agg(*(F.first(c).alias(c) for c in told.columns if c not in key)).select("*", F.col("_q_host").alias("_q_at"), F.col("_q_hash").alias("_q_of")).drop("_q_host", "_q_hash")
+    rows = df.select("*", host_of, text_hash)
+    whole = rows.join(told.hint("merge"), rows[id_col].eqNullSafe(told["_q_doc"]) & (F.col("_q_host") == F.col("_q_at")) & (F.col("_q_hash") == F.col("_q_of")), "left")
+    split = whole.select("*", F.explode(F.array(F.split(text_col, "\n"))).alias("_q_lines"))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_q_lines").cast("long") - 1), F.col("_q_gone"))
+    rest = F.array_join(F.transform(left, lambda i: F.get("_q_lines", i.cast("int"))), "\n")
+    text = F.when(F.col("_q_gone").isNull(), F.col(text_col)).otherwise(rest).alias(text_col)
+    return split.select(*(text if c == text_col else F.col(c) for c in df.columns), *(f"_q_{n}" for n in verdict))
 
 
 #: The rows of ``line_quality`` in DuckDB SQL.

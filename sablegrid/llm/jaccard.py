@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,8 +148,8 @@ def _to_blocks(ranges: DataFrame) -> DataFrame:
 
 
 def _candidates(replies: DataFrame, percent: int) -> DataFrame:
-    """Sets with enough shared shingles: size, all shared ones rarest first, and the prefix."""
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """Sets with enough shared shingles: size, number of shared ones, all of them rarest first, and the prefix."""
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("held", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, bytes] = {}
@@ -181,7 +181,7 @@ def _candidates(replies: DataFrame, percent: int) -> DataFrame:
             room = np.minimum((held - least)[docs] + 2, held[docs])
             raw = key.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[docs]), pa.array(sizes[docs]), pa.array([key[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
+                [pa.array(ids[docs]), pa.array(sizes[docs]), pa.array(held[docs]), pa.array([key[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(raw[expand(starts, room)]))], names=schema.names)
 
     return replies.repartition("block").mapInArrow(run, schema)
@@ -201,13 +201,24 @@ def _boundary(sets: DataFrame) -> int:
 
 
 def _entries(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Rows (key, doc, n, heavy): equal keys may mean a link."""
+    """Rows (key, doc, n, most, meets): equal keys may mean a link.
+
+    ``most`` is the largest size of a partner for which this key can be the first that both hold: what
+    comes after it in the set's order bounds the overlap.
+    """
     k = F.size("prefix")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.transform(F.slice("prefix", i + 1, k), lambda b: F.xxhash64(F.lit(2), F.get("prefix", i - 1), b))))
-    light = sets.where((F.col("n") <= boundary) & (k > 1)).select(F.explode(pairs).alias("key"), "doc", "n", F.lit(True).alias("meets"))
-    single = F.transform(F.slice("prefix", 1, F.greatest(k - 1, F.lit(1))), lambda a: F.xxhash64(F.lit(1), a))
-    heavy = sets.where(100 * F.col("n") > percent * boundary).select(F.explode(single).alias("key"), "doc", "n", (F.col("n") > boundary).alias("meets"))
-    return light.union(heavy)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.transform(F.slice("prefix", i + 1, k), lambda b, j: F.struct(F.xxhash64(F.lit(2), F.get("prefix", i - 1), b).alias("key"), (F.col("held") - i - j + 1).alias("rest")))))
+    light = sets.where((F.col("n") <= boundary) & (k > 1)).select(F.inline(pairs), "doc", "n", F.lit(True).alias("meets"))
+    single = F.transform(F.slice("prefix", 1, F.greatest(k - 1, F.lit(1))), lambda a, i: F.struct(F.xxhash64(F.lit(1), a).alias("key"), (F.col("held") - i).alias("rest")))
+    heavy = sets.where(100 * F.col("n") > percent * boundary).select(F.inline(single), "doc", "n", (F.col("n") > boundary).alias("meets"))
+    most = F.floor((100 + percent) * F.col("rest") / percent) - F.col("n")
+    return light.union(heavy).select("key", "doc", "n", most.alias("most"), "meets")
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
+    """Whether two entries of a key can be a link's first common one (columns n and most with suffixes)."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return (na <= F.col(f"most{b}")) & (nb <= F.col(f"most{a}")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,55 +237,56 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of the keys that still hold two components, with each entry's component."""
-    now = entries.drop("component").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    now = stage(now, "jaccard-entries")
-    keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stage(now.join(keys, "key"), "jaccard-entries")
+    """Entries, with their component, that may have a partner in another: by the bounds of their key."""
+    now = stage(entries.drop("component").join(labels.withColumnRenamed("node", "doc"), "doc"), "jaccard-entries")
+    keys = now.groupBy("key").agg(F.bool_or("meets").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("smallest"), F.max("most").alias("largest"))
+    keys = keys.where("any and low < high").select("key", "smallest", "largest")
+    return stage(now.join(keys, "key").where("n <= largest and smallest <= most").select("key", "doc", "n", "most", "meets", "component"), "jaccard-entries")
 
 
 def _with_one(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each key's members with one of them; of these a set takes the two that it meets most."""
-    pivot = F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("size"))
-    pivots = entries.groupBy("key").agg(F.min(pivot).alias("p")).select("key", "p.pivot", "p.of", "p.size")
-    met = entries.join(pivots, "key").where("component <> of").where(100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
+    pivot = F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("n_p"), F.col("most").alias("most_p"))
+    pivots = entries.groupBy("key").agg(F.min(pivot).alias("p")).select("key", "p.pivot", "p.of", "p.n_p", "p.most_p")
+    met = entries.withColumnsRenamed({"n": "n_e", "most": "most_e"}).join(pivots, "key").where("component <> of").where(_fit("_e", "_p", percent))
     met = met.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("times"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("times", "pivot")), False), 1, 2)
     return met.groupBy("doc").agg(best.alias("best")).select("doc", F.explode("best.pivot").alias("pivot")).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
 def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a key's members in different components."""
-    one, two = (entries.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("doc", "n", "component"))) for k in "ab")
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = one.join(two, "key").where("componenta < componentb").where(close)
-    return pairs.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
-
-
-def _near_components(sets: DataFrame, percent: int) -> DataFrame | None:
-    """Rows (node, component) of the sets that have links."""
-    entries = _entries(sets, _boundary(sets), percent)
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.bool_or("meets").alias("meets")).where("held > 1 and meets").select("key")
-    entries = stage(entries.drop("meets").join(keys, "key").withColumn("component", F.col("doc")), "jaccard-entries")
-    if entries.isEmpty():
-        return None
-    total, tested, links = entries.count(), None, None
+    """All pairs of a key's members in different components that may be a link."""
+    one, two = (entries.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "component"))) for k in "ab")
+    pairs = one.join(two, "key").where("component_a < component_b").where(_fit("_a", "_b", percent))
+    return pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: components are linked to each other, each pair once."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("a_of <> b_of").select(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")).distinct()
+    new = components(between).select(F.col("node").alias("component"), F.col("component").alias("under"))
+    return stage(labels.join(new, "component", "left").select("node", F.coalesce("under", "component").alias("component")), "jaccard-labels")
+
+
+def _near_components(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, component) of all sets."""
+    labels = stage(sets.select(F.col("doc").alias("node"), F.col("doc").alias("component")).distinct(), "jaccard-labels")
+    entries, tested, total = _entries(sets, _boundary(sets), percent), None, None
     for turn in range(ROUNDS + 1):
-        if turn:
-            entries = _open_entries(entries, labels)
-            per = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]  # pairs across components
-            if not left:
-                break
-        last = turn == ROUNDS or (turn and left <= PAIRS_PER_ENTRY * total)
+        entries = _open_entries(entries, labels)
+        per = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        held, left = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()  # entries, pairs across components
+        if not left:
+            break
+        total = total or held
+        last = turn == ROUNDS or left <= PAIRS_PER_ENTRY * total
         pairs = _across(entries, percent) if last else _with_one(entries, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = _links(pairs, sets, percent)
         tested = found if tested is None else tested.union(found)
-        new = found.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        labels = _joined(labels, found.where("linked"))
         if last:
             break
     return labels

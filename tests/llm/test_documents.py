@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sablegrid.llm import jaccard, linededup, quality
+from sablegrid.llm import jaccard, langid, linededup, quality, session
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,17 +109,36 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_pipeline_stages(spark, sf_dir):
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert len(corpus_pipeline.STAGES) == 5
-    before = docs
+    states = [docs]
     for name, step in corpus_pipeline.STAGES[:-1]:
-        after = step(spark, before, sf_dir).persist()
-        assert after.columns == docs.columns
-        assert after.count() <= before.count(), name
-        assert after.join(before, "doc_id", "left_anti").isEmpty()
-        before = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
-    assert packed.select("doc_id").distinct().count() == before.count()
-    per = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"))
-    assert per.where("n <> of").isEmpty()
+        states.append(session.stage(step(spark, states[-1], sf_dir), "test"))
+        assert states[-1].columns == docs.columns and 0 < states[-1].count() <= states[-2].count(), name
+    text_of = [{r.doc_id: r.text for r in s.collect()} for s in states]
+    # language: what goes has no letters, or no language with half of them
+    told = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert text_of[1] == {i: t for i, t in text_of[0].items() if told[i].lang_pred != "und" and told[i].score >= corpus_pipeline.LEAST_SCORE}
+    # quality: the kept ones of the SQL; texts change only where lines were removed
+    columns, rows = duck(states[1], quality.SQL)
+    judged = {r[columns.index("doc_id")]: dict(zip(columns, r, strict=True)) for r in rows}
+    assert set(text_of[2]) == {i for i, j in judged.items() if j["kept"]}
+    for i, t in text_of[2].items():
+        assert len(WORD.findall(text_of[1][i])) - len(WORD.findall(t)) == judged[i]["n_removed_words"]
+        assert set(t.split("\n")) <= set(text_of[1][i].split("\n"))
+    # line dedup: the SQL's texts, without blank ones
+    columns, rows = duck(states[2], linededup.SQL)
+    assert text_of[3] == {i: t for i, t in ((r[columns.index("doc_id")], r[columns.index("text")]) for r in rows) if t is not None and WORD.search(t)}
+    # near copies: one of each component of the SQL
+    columns, rows = duck(states[3], jaccard.SQL)
+    assert set(text_of[4]) == {r[columns.index("component_id")] for r in rows} and all(text_of[3][i] == t for i, t in text_of[4].items())
+    # packing: all ids of the library, without a gap
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = corpus_pipeline.STAGES[-1][1](spark, states[-1], sf_dir).collect()
+    lengths = Counter()
+    for r in packed:
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in text_of[4].items()}
+    ends = sorted((r.sequence_id * 4096 + r.offset, r.length) for r in packed)
+    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False)) and ends[0][0] == 0

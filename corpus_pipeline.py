@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sablegrid.llm import jaccard, langid, linededup, packing, quality
 from sablegrid.llm.session import documents, ship, stage
@@ -31,9 +32,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each component of near copies."""
-    labels = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(labels, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near copies: that of the smallest id, null last, then text hash.
+
+    A document is an id with a text. Rows without an id take part like all others, different texts under
+    one id are judged apart, and of rows that share id and text one stays. Documents are told apart by
+    64-bit hashes of id and text.
+    """
+    rows = docs.withColumn("_p_row", F.xxhash64("doc_id", "text"))
+    parts = jaccard.jaccard_components(rows, "_p_row").select("_p_row", "component_id").distinct()
+    named = parts.join(rows.select("_p_row", "doc_id").distinct(), "_p_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_p_row")).alias("first")
+    kept = named.groupBy("component_id").agg(first).select("first._p_row")
+    # Copies are combined in the tasks; the join finds them dealt by the same key.
+    return rows.dropDuplicates(["_p_row"]).join(kept, "_p_row", "left_semi").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,3 +142,12 @@ def test_pipeline_stages_equal_brute_force(spark, sf_dir):
     assert lengths == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in text_of[4].items()}
     ends = sorted((r.sequence_id * 4096 + r.offset, r.length) for r in packed)
     assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False)) and ends[0][0] == 0
+
+
+def test_pipeline_dedup_of_null_and_repeated_ids(spark):
+    a, b, c = ("\n".join(f"{x}{k} {x}{k + 1} word{k}" for k in range(40)) for x in "abc")
+    near = a.replace("word39", "other")
+    rows = [(None, a), (None, near), (7, near), (7, near), (7, b), (3, b), (9, "short one"), (None, c), (None, c), (None, "alone here"), (4, None), (None, "")]
+    found = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    expected = [(7, near), (3, b), (9, "short one"), (None, c), (None, "alone here"), (4, None), (None, "")]
+    assert found.columns == ["doc_id", "text"] and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)

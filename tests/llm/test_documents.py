@@ -151,3 +151,15 @@ def test_pipeline_dedup_of_null_and_repeated_ids(spark):
     found = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     expected = [(7, near), (3, b), (9, "short one"), (None, c), (None, "alone here"), (4, None), (None, "")]
     assert found.columns == ["doc_id", "text"] and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_quality_of_small_and_hot_hosts(spark, docs):
+    same(quality.line_quality(docs, either=True), docs, quality.SQL_EITHER)
+    letters = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    rows = []
+    for host, size, holders in (("small", 10, 3), ("hot", 600, 21), ("pair", 4, 2)):
+        own = [" ".join(f"{host}{letters(k)}{letters(j)}" for j in range(60)) for k in range(size)]
+        rows += [(len(rows) + k, "Footer of all\n" + t if k < holders else t, host) for k, t in enumerate(own)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.n_removed_words for r in quality.line_quality(table, either=True).collect()}
+    assert found == {i: 3 * (t.startswith("Footer") and s != "pair") for i, t, s in rows}

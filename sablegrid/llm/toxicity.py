@@ -6,7 +6,9 @@ labelled documents. Over the signs of a clause, modifier automata run from left
 whether a negation or a reporting verb governs the place and whether a target stands near; composed
 with the insult and threat transducers they give each match its form. A clause scores the sum of its
 matches' stem weights, each times its form's weight; a document's score is the logistic value of what
-its clauses say, on a scale fitted to the labels. Words alone, without their clause, score nothing.
+its clauses say, on a scale fitted to the labels. An insult with
+no target, negation or report near it keeps its stem's whole weight, so where there are few others the
+score is a weighted count of stems.
 """
 
 from __future__ import annotations

@@ -33,6 +33,7 @@ ROUNDS = 3  # most rounds that compare a list's members with one of them
 SCAN_COST = 4
 PAIRS_PER_ENTRY = 0.5  # with so few pairs left for each entry of the lists, all are compared
 ROWS = 256  # rows of packed sets in an Arrow batch
+KEY_BITS = 56  # of a shingle's hash that decide pair tests; a range and 48 sent bits cover them
 BLOCK_SHINGLES = 600_000  # shingles that a task holds before it sends them
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -75,7 +76,7 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def _to_ranges(docs: DataFrame, bits: int, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Each block's shingles by hash range: 16-bit place in the block and 40 further bits of the hash."""
+    """Each block's shingles by hash range: 16-bit place in the block and the last 48 of ``KEY_BITS`` bits of the hash."""
     schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,10 @@ def _to_ranges(docs: DataFrame, bits: int, id_col: str, text_col: str, words: in
             order = np.argsort(h)
             h, place = h[order], place[order]
             part = (h >> U64(64 - bits)).astype(np.int64)
-            key = (h << U64(bits)) >> U64(24)
+            key = h >> U64(64 - KEY_BITS)
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
             used = np.flatnonzero(np.diff(cuts)).tolist()
-            entries = [place[a:b].tobytes() + (key[a:b] >> U64(8)).astype("<u4").tobytes() + key[a:b].astype(np.uint8).tobytes() for a, b in ((cuts[r], cuts[r + 1]) for r in used)]
+            entries = [place[a:b].tobytes() + (key[a:b] >> U64(16)).astype("<u4").tobytes() + key[a:b].astype("<u2").tobytes() for a, b in ((cuts[r], cuts[r + 1]) for r in used)]
             table = ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes()
             # The table of the block's documents takes its way through some range.
             return pa.RecordBatch.from_arrays([pa.array([*used, block % (1 << bits)], pa.int32()), pa.array([block] * (len(used) + 1)), pa.array([*[None] * len(used), table], pa.binary()), pa.array([*entries, None], pa.binary())], names=schema.names)
@@ -109,7 +110,7 @@ def _to_ranges(docs: DataFrame, bits: int, id_col: str, text_col: str, words: in
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _to_blocks(ranges: DataFrame) -> DataFrame:
+def _to_blocks(ranges: DataFrame, bits: int) -> DataFrame:
     """Of each range, for each block the shingles that two sets or more hold, with their frequency."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 
@@ -121,9 +122,9 @@ def _to_blocks(ranges: DataFrame) -> DataFrame:
                 if docs is not None:
                     tables.append((b, docs))
                 else:
-                    n = len(raw) // 7
+                    n = len(raw) // 8
                     place.append(np.frombuffer(raw, "<u2", n))
-                    key.append((U64(r) << U64(40)) | (np.frombuffer(raw, "<u4", n, 2 * n).astype(U64) << U64(8)) | np.frombuffer(raw, np.uint8, n, 6 * n))
+                    key.append((U64(r) << U64(KEY_BITS - bits)) | (np.frombuffer(raw, "<u4", n, 2 * n).astype(U64) << U64(16)) | np.frombuffer(raw, "<u2", n, 6 * n))
                     block.append(np.full(n, b, np.int64))
             if tables:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in tables]), pa.array([d for _, d in tables], pa.binary()), pa.nulls(len(tables), pa.binary())], names=schema.names)
@@ -300,7 +301,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``id_col`` (long), ``n_shingles``, ``component_id`` (smallest id reachable). Null, empty and
     blank texts have an empty set and link with nothing. Rows that share an id are one document in
     the links between sets; a row without an id links with nothing and has no component. Hashes are
-    of 64 bits (56 at a million ranges or fewer in pair tests). Other columns are not read; an empty
+    of 64 bits (the first 56 of them in pair tests). Other columns are not read; an empty
     table gives an empty result.
     """
     spark = df.sparkSession
@@ -308,9 +309,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     filled = signed.where("n > 0 and doc is not null")
     classes = stage(filled.groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep")), "jaccard-classes")
     docs = df.select(id_col, text_col).join(classes.select(F.col("rep").alias(id_col)).hint("merge"), id_col, "left_semi")
-    bits = max(4, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    bits = max(KEY_BITS - 48, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     with arrow_rows(spark, ROWS):
-        sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words)), percent), "jaccard-candidates")
+        sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words), bits), percent), "jaccard-candidates")
     labels = None if sets.isEmpty() else _near_components(sets, percent)
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")

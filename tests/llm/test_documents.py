@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sablegrid.llm import jaccard, langid, linededup, quality, session
+from sablegrid.llm import flat, jaccard, langid, linededup, quality, session
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -163,3 +164,19 @@ def test_quality_of_small_and_hot_hosts(spark, docs):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r.n_removed_words for r in quality.line_quality(table, either=True).collect()}
     assert found == {i: 3 * (t.startswith("Footer") and s != "pair") for i, t, s in rows}
+
+
+@pytest.mark.parametrize("partitions", ["1", "200", "9000"])
+def test_jaccard_keys_keep_56_bits(spark, monkeypatch, partitions):
+    words = [f"w{k}" for k in range(24)]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "z")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(jaccard, "_near_components", lambda sets, percent: seen.extend(sets.collect()) or sets.selectExpr("doc as node", "doc as component"))
+    real = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: partitions if key == "spark.sql.shuffle.partitions" else real(key, *a))
+    jaccard.jaccard_components(table)
+    h, bounds = jaccard.shingle_sets(flat.Texts([r.text for r in table.orderBy("doc_id").collect()]))
+    both = np.intersect1d(h[: bounds[1]], h[bounds[1] : bounds[2]]) >> np.uint64(8)
+    assert len(both) == 19 and len(seen) == 2
+    for r in seen:
+        assert np.array_equal(np.sort(np.frombuffer(r.shared, "<u8")), both)

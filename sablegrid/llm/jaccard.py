@@ -8,9 +8,12 @@ smallest possible overlap is shared, which leaves near copies and lets all other
 Of the rest, a light set (size up to a boundary) enumerates the two-element subsets of its prefix,
 the shingles of which any partner must hold two; equal subsets meet. A heavy set is found by scanning
 the inverted lists of its prefix. The boundary is the size at which subsets and scans cost least
-together. Lists are not expanded to pairs: in rounds, each list's members are compared with one of
-them, linked ones become one component, and a list within one component is done. What then still
-lies across components is compared pair by pair, so no link between components is lost.
+together. Lists are not expanded to pairs. In rounds, each list's members are compared with one of
+them, linked ones become one component, and a list within one component is done; this goes on while
+a round halves what is open. Lists that are left are scanned where they lie, in blocks of bounded
+size: members carry a parity sketch of their set, which bounds what two sets can share, and of the
+pairs across components that it leaves each component offers its best few to the exact test. The
+scan is repeated with more of them until no list has a pair that was not tested, so no link is lost.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from .graph import components
 from .session import arrow_rows, stage
 
 WORDS = 5
-ROUNDS = 3  # most rounds that compare a list's members with one of them
 SCAN_COST = 4
-PAIRS_PER_ENTRY = 0.5  # with so few pairs left for each entry of the lists, all are compared
+SKETCH_BITS = 2048  # of a set's parity sketch
+LIST_BLOCK = 1024  # members of a list that are scanned against so many others in one task
+SCAN_PAIRS = 1 << 20  # pairs that a task looks at together
+OFFERS, MORE_OFFERS = 4, 8  # pairs that a component offers in the first scan of a list, and times more in each next one
 ROWS = 256  # rows of packed sets in an Arrow batch
 KEY_BITS = 56  # of a shingle's hash that decide pair tests; a range and 48 sent bits cover them
 BLOCK_SHINGLES = 600_000  # shingles that a task holds before it sends them
@@ -110,82 +115,111 @@ def _to_ranges(docs: DataFrame, bits: int, id_col: str, text_col: str, words: in
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with the sums of their counts, as one part."""
+    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return [(key[first], np.add.reduceat(count, first))]
+
+
+def _steps(frequency: np.ndarray) -> np.ndarray:
+    """Frequencies in 16 bits: exact up to 2 ** 15, in steps of a 2048th of a power of two beyond."""
+    high = (1 << 15) + np.floor(2048 * np.log2(np.maximum(frequency, 1 << 15) / (1 << 15)))
+    return np.minimum(np.where(frequency < 1 << 15, frequency, high), 65535).astype("<u2")
+
+
 def _to_blocks(ranges: DataFrame, bits: int) -> DataFrame:
-    """Of each range, for each block the shingles that two sets or more hold, with their frequency."""
+    """Of each range, for each block the shingles that two sets or more hold, with their frequency.
+
+    A range's rows come twice, sorted by Spark, which spills: first its distinct keys are counted, then
+    each row is answered. A task holds the distinct keys of one range, however many sets hold them.
+    """
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, place, key = [], [], []
+        now, parts, known = None, [], None
         for batch in batches:
-            tables = []
-            for r, b, docs, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out: list[tuple] = []
+            for r, turn, b, docs, raw in zip(*(batch.column(k).to_pylist() for k in ("range", "turn", "block", "docs", "entries")), strict=True):
+                if r != now:
+                    now, parts, known = r, [], None
                 if docs is not None:
-                    tables.append((b, docs))
-                else:
-                    n = len(raw) // 8
-                    place.append(np.frombuffer(raw, "<u2", n))
-                    key.append((U64(r) << U64(KEY_BITS - bits)) | (np.frombuffer(raw, "<u4", n, 2 * n).astype(U64) << U64(16)) | np.frombuffer(raw, "<u2", n, 6 * n))
-                    block.append(np.full(n, b, np.int64))
-            if tables:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in tables]), pa.array([d for _, d in tables], pa.binary()), pa.nulls(len(tables), pa.binary())], names=schema.names)
-        if not key:
-            return
-        block, place, key = map(np.concatenate, (block, place, key))
-        order = np.argsort(key)
-        key = key[order]
-        first = np.append(True, key[1:] != key[:-1])
-        frequency = np.diff(np.append(np.flatnonzero(first), len(key)))[np.cumsum(first) - 1]
-        shared = frequency > 1
-        order, key, frequency = order[shared], key[shared], np.minimum(frequency[shared], 65535).astype("<u2")
-        block, place = block[order], place[order]
-        order = np.argsort(block, kind="stable")
-        block, place, key, frequency = block[order], place[order], key[order], frequency[order]
-        cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            raw = place[a:b].tobytes() + frequency[a:b].tobytes() + key[a:b].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.nulls(1, pa.binary()), pa.array([raw], pa.binary())], names=schema.names)
-
-    return ranges.repartition("range").mapInArrow(run, schema)
+                    if turn == 0:
+                        out.append((b, docs, None))
+                    continue
+                n = len(raw) // 8
+                key = (U64(r) << U64(KEY_BITS - bits)) | (np.frombuffer(raw, "<u4", n, 2 * n).astype(U64) << U64(16)) | np.frombuffer(raw, "<u2", n, 6 * n)
+                if turn == 0:
+                    parts.append((key, np.ones(n, np.int64)))
+                    if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
+                        parts = _merged(parts)
+                    continue
+                if known is None:
+                    key_of, count = _merged(parts)[0]
+                    known, parts = (key_of[count > 1], _steps(count[count > 1])), []
+                at = np.searchsorted(known[0], key)
+                at[at == len(known[0])] = 0
+                hit = np.flatnonzero(known[0][at] == key) if len(known[0]) else at[:0]
+                if len(hit):
+                    out.append((b, None, np.frombuffer(raw, "<u2", n)[hit].tobytes() + known[1][at[hit]].tobytes() + key[hit].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
+
+    twice = ranges.repartition("range").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    return twice.sortWithinPartitions("range", "turn").mapInArrow(run, schema)
 
 
 def _candidates(replies: DataFrame, percent: int) -> DataFrame:
-    """Sets with enough shared shingles: size, number of shared ones, all of them rarest first, and the prefix."""
+    """Sets with enough shared shingles: size, number of shared ones, all of them rarest first, and the prefix.
+
+    Replies come sorted by block, so that a task holds one block.
+    """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("held", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
+    def answer(table: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, sizes = np.frombuffer(table, "<i8").reshape(2, -1)
+        cut = [len(p) // 12 for p in parts]
+        place = np.concatenate([np.frombuffer(p, "<u2", n) for p, n in zip(parts, cut, strict=True)])
+        frequency = np.concatenate([np.frombuffer(p, "<u2", n, 2 * n) for p, n in zip(parts, cut, strict=True)])
+        key = np.concatenate([np.frombuffer(p, "<u8", n, 4 * n) for p, n in zip(parts, cut, strict=True)])
+        held = np.bincount(place, minlength=len(ids))
+        least = -(-sizes * percent // 100)
+        # Two different sets are most alike when one is the other and one shingle more.
+        good = (held >= least) & (held > 0) & (100 * sizes >= percent * (sizes + 1))
+        docs = np.flatnonzero(good)
+        if not len(docs):
+            return
+        keep = good[place]
+        place, frequency, key = place[keep], frequency[keep], key[keep]
+        key = key[np.lexsort((key, frequency, place))]
+        ends = np.cumsum(held[docs])
+        starts = ends - held[docs]
+        room = np.minimum((held - least)[docs] + 2, held[docs])
+        raw = key.view(np.int64)
+        for a in range(0, len(docs), ROWS):
+            z = a + ROWS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[docs[a:z]]), pa.array(sizes[docs[a:z]]), pa.array(held[docs[a:z]]), pa.array([key[f:t].tobytes() for f, t in zip(starts[a:z], ends[a:z], strict=True)], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room[a:z])]), pa.int32()), pa.array(raw[expand(starts[a:z], room[a:z])]))], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, bytes] = {}
-        found: dict[int, list[bytes]] = {}
+        now, table, parts = None, None, []
         for batch in batches:
             for b, docs, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if b != now:
+                    if parts:
+                        yield from answer(table, parts)
+                    now, parts = b, []
                 if docs is not None:
-                    tables[b] = docs
+                    table = docs
                 else:
-                    found.setdefault(b, []).append(raw)
-        for b, parts in found.items():
-            ids, sizes = np.frombuffer(tables[b], "<i8").reshape(2, -1)
-            cut = [len(p) // 12 for p in parts]
-            place = np.concatenate([np.frombuffer(p, "<u2", n) for p, n in zip(parts, cut, strict=True)])
-            frequency = np.concatenate([np.frombuffer(p, "<u2", n, 2 * n) for p, n in zip(parts, cut, strict=True)])
-            key = np.concatenate([np.frombuffer(p, "<u8", n, 4 * n) for p, n in zip(parts, cut, strict=True)])
-            held = np.bincount(place, minlength=len(ids))
-            least = -(-sizes * percent // 100)
-            good = (held >= least) & (sizes > 2)
-            keep = good[place]
-            place, frequency, key = place[keep], frequency[keep], key[keep]
-            order = np.lexsort((key, frequency, place))
-            key = key[order]
-            docs = np.flatnonzero(good)
-            if not len(docs):
-                continue
-            ends = np.cumsum(held[docs])
-            starts = ends - held[docs]
-            room = np.minimum((held - least)[docs] + 2, held[docs])
-            raw = key.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[docs]), pa.array(sizes[docs]), pa.array(held[docs]), pa.array([key[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(raw[expand(starts, room)]))], names=schema.names)
+                    parts.append(raw)
+        if parts:
+            yield from answer(table, parts)
 
-    return replies.repartition("block").mapInArrow(run, schema)
+    return replies.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
 def _boundary(sets: DataFrame) -> int:
@@ -213,7 +247,11 @@ def _entries(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     single = F.transform(F.slice("prefix", 1, F.greatest(k - 1, F.lit(1))), lambda a, i: F.struct(F.xxhash64(F.lit(1), a).alias("key"), (F.col("held") - i).alias("rest")))
     heavy = sets.where(100 * F.col("n") > percent * boundary).select(F.inline(single), "doc", "n", (F.col("n") > boundary).alias("meets"))
     most = F.floor((100 + percent) * F.col("rest") / percent) - F.col("n")
-    return light.union(heavy).select("key", "doc", "n", most.alias("most"), "meets")
+    found = light.union(heavy)
+    if 2 * percent <= 100:  # the smallest sets link by one shingle alone
+        only = F.transform("prefix", lambda a, i: F.struct(F.xxhash64(F.lit(3), a).alias("key"), (F.col("held") - i).alias("rest")))
+        found = found.union(sets.where(F.col("n") * percent <= 100).select(F.inline(only), "doc", "n", F.lit(True).alias("meets")))
+    return found.select("key", "doc", "n", most.alias("most"), "meets")
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
@@ -238,11 +276,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries, with their component, that may have a partner in another: by the bounds of their key."""
-    now = stage(entries.drop("component").join(labels.withColumnRenamed("node", "doc"), "doc"), "jaccard-entries")
-    keys = now.groupBy("key").agg(F.bool_or("meets").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("smallest"), F.max("most").alias("largest"))
-    keys = keys.where("any and low < high").select("key", "smallest", "largest")
-    return stage(now.join(keys, "key").where("n <= largest and smallest <= most").select("key", "doc", "n", "most", "meets", "component"), "jaccard-entries")
+    """Entries, with their component, that may have a partner in another: by the bounds of their key.
+
+    ``members`` is the number of the key's entries at least.
+    """
+    now = stage(entries.drop("component", "members").join(labels.withColumnRenamed("node", "doc"), "doc"), "jaccard-entries")
+    keys = now.groupBy("key").agg(F.bool_or("meets").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("smallest"), F.max("most").alias("largest"), F.count(F.lit(1)).alias("members"))
+    keys = keys.where("any and low < high").select("key", "smallest", "largest", "members")
+    return stage(now.join(keys, "key").where("n <= largest and smallest <= most").select("key", "doc", "n", "most", "meets", "component", "members"), "jaccard-entries")
 
 
 def _with_one(entries: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -255,11 +296,103 @@ def _with_one(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.groupBy("doc").agg(best.alias("best")).select("doc", F.explode("best.pivot").alias("pivot")).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
-def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a key's members in different components that may be a link."""
-    one, two = (entries.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "component"))) for k in "ab")
-    pairs = one.join(two, "key").where("component_a < component_b").where(_fit("_a", "_b", percent))
-    return pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+def _sketches(sets: DataFrame) -> DataFrame:
+    """Rows (doc, held, sketch): of each bit, whether an odd number of the set's shared shingles falls on it."""
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("held", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held").to_numpy()
+            bit = _mix(np.frombuffer(b"".join(batch.column("shared").to_pylist()), "<u8")) % U64(SKETCH_BITS)
+            odd = np.zeros((batch.num_rows, SKETCH_BITS // 64), U64)
+            np.bitwise_xor.at(odd, (np.repeat(np.arange(batch.num_rows), held), (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("held"), pa.array([x.tobytes() for x in odd], pa.binary())], names=schema.names)
+
+    return sets.select("doc", "held", "shared").mapInArrow(run, schema)
+
+
+def _scan(group: np.ndarray, block: np.ndarray, c: dict[str, np.ndarray], sketch: np.ndarray, percent: int, offers: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (x, y) of places that whole lists offer, and whether they hold back others.
+
+    ``group`` numbers the lists; where a list has two blocks, only pairs between them count.
+    """
+    n = len(group)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    two = np.repeat(np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts), np.diff(np.append(starts, n)))
+    after = np.arange(n) + 1
+    kept, done = [], 0
+    total = np.concatenate([[0], np.cumsum(ends - after)])
+    while done < n:
+        to = max(done + 1, int(np.searchsorted(total, total[done] + SCAN_PAIRS, "right")) - 1)
+        count = (ends - after)[done:to]
+        x, y = np.repeat(np.arange(done, to), count), expand(after[done:to], count)
+        done = to
+        good = (c["component"][x] != c["component"][y]) & (~two[x] | (block[x] != block[y])) & (c["meets"][x] | c["meets"][y])
+        x, y = x[good], y[good]
+        nx, ny = c["n"][x], c["n"][y]
+        good = (nx <= c["most"][y]) & (ny <= c["most"][x]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        x, y = x[good], y[good]
+        differ = np.concatenate([np.empty(0, np.int64), *(np.bitwise_count(sketch[x[k : k + 65536]] ^ sketch[y[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(x), 65536))])
+        # Two sets differ in one shingle for each odd bit at least, and what they share fills the rest.
+        both, sizes = (c["held"][x] + c["held"][y] - differ) // 2, c["n"][x] + c["n"][y]
+        good = (100 + percent) * both >= percent * sizes
+        kept.append((x[good], y[good], (differ / sizes)[good]))
+    x, y, far = (np.concatenate(k) for k in zip(*kept, strict=True))
+    # Each component of a list offers its nearest pairs.
+    who, pair = np.concatenate([c["component"][x], c["component"][y]]), np.tile(np.arange(len(x)), 2)
+    order = np.lexsort((pair, far[pair], who, group[x][pair]))
+    who, pair, of = who[order], pair[order], group[x][pair[order]]
+    first = np.append(True, (who[1:] != who[:-1]) | (of[1:] != of[:-1]))[: len(who)]
+    at = np.arange(len(who))
+    rank = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+    take = np.unique(pair[rank < offers])
+    return x[take], y[take], len(take) < len(x)
+
+
+def _scan_lists(entries: DataFrame, sketches: DataFrame, percent: int, offers: int) -> DataFrame:
+    """Rows (a, b): pairs across components that the lists offer; a row of nulls says that there are more.
+
+    A list of many members is cut into blocks of ``LIST_BLOCK``, and a task reads two of them at most.
+    """
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    numbers = ("doc", "n", "most", "component", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def scan(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            c = {k: table.column(k).to_numpy() for k in (*numbers, "meets", "block", "key", "i", "j")}
+            new = np.append(True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+            x, y, more = _scan(np.cumsum(new), c["block"], c, sketch, percent, offers)
+            a, b = np.minimum(c["doc"][x], c["doc"][y]), np.maximum(c["doc"][x], c["doc"][y])
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            nulls = pa.nulls(int(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), nulls]), pa.concat_arrays([pa.array(b), nulls])], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < 4 * LIST_BLOCK:
+                continue
+            table = pa.Table.from_batches(held)
+            name = [table.column(k).to_numpy() for k in ("key", "i", "j")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in name], axis=0))
+            last = int(change[-1]) + 1 if len(change) else 0
+            if last:  # the last list may go on in the next batch
+                yield from scan(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from scan(pa.Table.from_batches(held))
+
+    blocks_of = F.ceil(F.col("members") / LIST_BLOCK).cast("int")
+    cut = entries.select("*", F.pmod(F.xxhash64(F.lit(5), "doc"), blocks_of.cast("long")).cast("int").alias("block"), blocks_of.alias("_blocks"))
+    dealt = cut.select(*cut.columns, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("key", *numbers[:-1], "meets", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")).join(sketches, "doc")
+    order = ("key", "i", "j")
+    return dealt.select(*order, *numbers, "meets", "block", "sketch").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -273,24 +406,29 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _near_components(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (node, component) of all sets."""
     labels = stage(sets.select(F.col("doc").alias("node"), F.col("doc").alias("component")).distinct(), "jaccard-labels")
-    entries, tested, total = _entries(sets, _boundary(sets), percent), None, None
-    for turn in range(ROUNDS + 1):
+    entries, tested, open_before, offers, turn = _entries(sets, _boundary(sets), percent), None, None, 0, 0
+    while True:
         entries = _open_entries(entries, labels)
-        per = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        held, left = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()  # entries, pairs across components
+        left = entries.count()
         if not left:
-            break
-        total = total or held
-        last = turn == ROUNDS or left <= PAIRS_PER_ENTRY * total
-        pairs = _across(entries, percent) if last else _with_one(entries, turn, percent)
+            return labels
+        # Every round either halves what is open or is followed by scans, which widen until nothing is held back.
+        if offers or (open_before is not None and 2 * left > open_before):
+            offers = offers * MORE_OFFERS or OFFERS
+            sketches = _sketches(sets.join(entries.select("doc").distinct(), "doc", "left_semi"))
+            with arrow_rows(sets.sparkSession, ROWS):
+                offered = stage(_scan_lists(entries, sketches, percent, offers), "jaccard-offers")
+            more, pairs = not offered.where("a is null").isEmpty(), offered.where("a is not null").distinct()
+        else:
+            more, pairs = True, _with_one(entries, turn, percent)
+        turn, open_before = turn + 1, left
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = _links(pairs, sets, percent)
         tested = found if tested is None else tested.union(found)
         labels = _joined(labels, found.where("linked"))
-        if last:
-            break
-    return labels
+        if not more:
+            return labels
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:

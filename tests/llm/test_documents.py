@@ -99,10 +99,53 @@ def test_jaccard_equals_sql(docs):
 @pytest.mark.parametrize("boundary", [0, 20, 10_000])
 def test_jaccard_boundary_changes_nothing(docs, boundary, monkeypatch):
     monkeypatch.setattr(jaccard, "_boundary", lambda sets: boundary)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
     same(jaccard.jaccard_components(docs), docs, jaccard.SQL)
 
 
+def linked_components(texts, percent, words=5):
+    """Component of every text by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = [re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Copies of a few texts with more and more changes, many of them near the limit, and short texts."""
+    rng = random.Random(11)
+    texts = []
+    for base in ([f"b{k}w{i}" for i in range(n)] for k, n in enumerate((90, 40, 400))):
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, len(w) // 14)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
+            texts.append(" ".join(w))
+    texts += ["a b c d e f", "a b c d e", "b c d e f", "a b c d e f g", "q r s t u v", "q r s t u", "x y", "x y z", "", None]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize(("way", "percent"), [("rounds", 50), ("rounds", 90), ("scans", 50), ("scans", 75), ("light", 75), ("heavy", 75)])
+def test_jaccard_loses_no_link(crowd, way, percent, monkeypatch):
+    texts, table = crowd
+    if way == "scans":  # no pivots, lists in many blocks, few offers a scan
+        monkeypatch.setattr(jaccard, "_with_one", lambda entries, turn, percent: entries.selectExpr("doc as a", "doc as b").limit(0))
+        for name, value in (("LIST_BLOCK", 7), ("OFFERS", 1), ("MORE_OFFERS", 2)):
+            monkeypatch.setattr(jaccard, name, value)
+    elif way != "rounds":
+        monkeypatch.setattr(jaccard, "_boundary", lambda sets: 10_000 if way == "light" else 0)
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table, percent=percent).collect()}
+    assert found == dict(enumerate(linked_components(texts, percent)))
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A B C D E F"), (4, None), (5, ""), (6, "q"), (7, "Q")]
     found = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)

@@ -5,7 +5,8 @@ mergeable token pair, the positions where it stands. Merges are replayed in rank
 all its positions at once, rewrites them, and looks up only the pairs with the touched neighbours,
 which enter the index in turn. Pieces met before come from a bounded cache, so the corpus of a task
 is what its documents add to it. Documents stay where they are: nothing is shuffled, and memory is
-bounded by a block and the cache, whatever the input's size or skew.
+bounded by a block and the cache, whatever the input's size or skew. A text longer than a block is
+cut where a piece surely begins; only a piece that is itself longer is held whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .flat import BLOCK_BYTES, U64, Texts, blocks, expand, hash_ranges
-from .pretoken import spaced_pieces
+from .flat import BLOCK_BYTES, U64, Texts, _mix, blocks, expand, hash_ranges
+from .pretoken import chunks, spaced_pieces
 
 NONE = 1 << 40
 CACHE_PIECES = 1_500_000
+DECODED = 1 << 20  # ids that are decoded at a time
 
 
 class PairTable:
@@ -173,25 +175,36 @@ class Ranks:
 
 
 class PieceCache:
-    """Ids of pieces by their 64-bit hash; what is new in a block is encoded together."""
+    """Ids of pieces by two 64-bit hashes; what is new in a block is encoded together.
+
+    The first hash finds a piece, the second tells whether it is that piece; one that is not goes on to
+    a key made of both.
+    """
 
     def __init__(self, encode: Callable[[Texts], tuple[np.ndarray, np.ndarray]], dtype, limit: int = CACHE_PIECES):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slots = np.empty(0, U64), np.empty(0, np.int64)
+        self.keys, self.checks, self.slots = np.empty(0, U64), np.empty(0, U64), np.empty(0, np.int64)
         self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, self.dtype)
 
     def find(self, texts: Texts, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece the place of its ids in ``self.ids`` and their number."""
         hashes = hash_ranges(texts.words8, starts, lengths)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > self.limit:
+        checks = hash_ranges(texts.words8, starts, lengths, 1)
+        if len(self.keys) + len(starts) > self.limit and len(self.keys) + len(np.unique(hashes)) > self.limit:
             self._clear()
-        at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        while True:
+            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
+            check = np.where(known, self.checks[at], checks[first]) if len(self.keys) else checks[first]
+            other = np.flatnonzero(check[inverse] != checks)
+            if not len(other):
+                break
+            hashes[other] = _mix(hashes[other] ^ checks[other])
         if not known.all():
             new = first[~known]
             parts = Texts([])
@@ -206,18 +219,21 @@ class PieceCache:
             self.starts, self.counts = np.concatenate([self.starts, begin]), np.concatenate([self.counts, counts])
             where = np.searchsorted(self.keys, unique[~known])
             self.keys, self.slots = np.insert(self.keys, where, unique[~known]), np.insert(self.slots, where, slots)
+            self.checks = np.insert(self.checks, where, checks[new])
             at = np.searchsorted(self.keys, unique)
         slot = self.slots[at][inverse]
         return self.starts[slot], self.counts[slot]
 
     def tokens(self, texts: Texts, split: Callable) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's bounds among them."""
-        starts, lengths, firsts = split(texts)
-        if not len(starts):
-            return np.empty(0, self.dtype), np.zeros(texts.rows + 1, np.int64)
-        begin, counts = self.find(texts, starts, lengths)
-        bounds = np.concatenate([[0], np.cumsum(counts)])[firsts]
-        return self.ids[expand(begin, counts)], bounds
+        found, bounds = [], np.zeros(texts.rows + 1, np.int64)
+        for part in chunks(texts):
+            starts, lengths, firsts = split(part)
+            if len(starts):
+                begin, counts = self.find(part, starts, lengths)
+                bounds += np.concatenate([[0], np.cumsum(counts)])[firsts]
+                found.append(self.ids[expand(begin, counts)])
+        return np.concatenate(found) if found else np.empty(0, self.dtype), bounds
 
 
 @cache
@@ -251,12 +267,17 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             sha, back, raw_ids, raw = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 one = ids[a:b]
-                text = decode(one, ranks)
                 sha.append(hashlib.sha256(one).hexdigest())
-                back.append(hashlib.sha256(text).hexdigest())
+                decoded, whole = hashlib.sha256(), []
+                for k in range(0, len(one), DECODED):
+                    text = decode(one[k : k + DECODED], ranks)
+                    decoded.update(text)
+                    if keep_ids:
+                        whole.append(text)
+                back.append(decoded.hexdigest())
                 if keep_ids:
                     raw_ids.append(one.tobytes())
-                    raw.append(text)
+                    raw.append(b"".join(whole))
             columns = [batch.column(id_col), pa.array(np.diff(bounds)), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             if keep_ids:
                 columns += [pa.array(raw_ids, pa.binary()), pa.array(raw, pa.binary())]

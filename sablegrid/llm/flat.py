@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+import tiktoken
 
 BLOCK_BYTES = 4 << 20
 U64 = np.uint64
@@ -119,12 +119,17 @@ def line_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @cache
 def char_groups() -> np.ndarray:
-    """SPACE, LETTER, NUMBER or OTHER of every code point."""
+    """SPACE, LETTER, NUMBER or OTHER of every code point, as the tokenizer libraries class it.
+
+    Their Unicode tables are older than those of other packages, so the library itself is asked: an
+    encoding of single bytes whose pattern is the class gives back the bytes of what it matches.
+    """
     table = np.full(0x110000, OTHER, np.uint8)
-    everything = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
-    for pattern, group in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, everything):
-            table[m.start() : m.end()] = group
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    for pattern, group in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        matched = bytes(tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(everything))
+        table[np.frombuffer(matched.decode("utf-8").encode("utf-32-le"), np.uint32)] = group
     return table
 
 

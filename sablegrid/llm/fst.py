@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .bpe import NONE, PairTable, PieceCache
 from .flat import LETTER, NUMBER, SPACE, U64, Texts, blocks, char_groups, sums_by
+from .pretoken import chunks
 
 # Character classes and states of the splitter.
 BLANK, WHITE, OTHER_LETTER, STMD, RV, E, L, DIGIT, APOSTROPHE, SIGN, END = range(11)
@@ -266,9 +267,12 @@ class MergeTransducer:
                 owner += [i] * len(rest)
                 extra[i] = len(rest) - 1
             texts = Texts(parts)
-        starts = np.flatnonzero(piece_boundaries(texts)[: texts.size])
-        _, found = self.cache.find(texts, starts, np.diff(np.append(starts, texts.size))) if len(starts) else (starts, starts)
-        counts = sums_by(found, np.searchsorted(starts, texts.offsets))
+        counts = np.zeros(texts.rows, np.int64)
+        for part in chunks(texts):
+            starts = np.flatnonzero(piece_boundaries(part)[: part.size])
+            if len(starts):
+                _, found = self.cache.find(part, starts, np.diff(np.append(starts, part.size)))
+                counts += sums_by(found, np.searchsorted(starts, part.offsets))
         if owner is not None:
             counts = np.bincount(owner, counts, len(column)).astype(np.int64)
         return counts + extra
@@ -292,7 +296,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
     Returns one row per input row: ``id_col``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
     (more than ``limit`` tokens). A special string inside a text is one token. Null and empty texts
     have 0 of both; repeated rows and null ids stay; other columns are not read; an empty table
-    gives an empty result. Memory is bounded by a block and the table of states.
+    gives an empty result. Memory is bounded by a block and the table of states; a longer text is cut
+    where a piece surely begins.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 

@@ -7,7 +7,6 @@ hold one of its special strings go to it whole. Pieces are what its own splitter
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -54,8 +53,7 @@ class LibraryTokens:
         if self.words:
             listed = texts.bytes[: texts.size].tobytes()
             ends = texts.offsets.tolist()
-            lower = [unicodedata.normalize("NFC", listed[a:b].decode("utf-8")).replace("Σ", "σ").lower() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            texts = Texts(lower)
+            texts = Texts([self.library.normalizer.normalize_str(listed[a:b].decode("utf-8")) for a, b in zip(ends[:-1], ends[1:], strict=True)])
         ids, bounds = self.cache.tokens(texts, self.split)
         if odd:
             parts = [odd.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .flat import LETTER, NUMBER, OTHER, SPACE, Texts, char_groups
 
+CHUNK = 4 << 20  # bytes of a long text that are split at a time
+WINDOW = 1 << 16  # bytes before a chunk's end in which a cut is looked for first
+
 
 def _runs(points: np.ndarray, bounds: np.ndarray):
     group = char_groups()[points]
@@ -79,3 +84,47 @@ def word_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(first, kind="stable")
     first, last = first[order], last[order]
     return at[first], at[last] - at[first], np.searchsorted(first, bounds)
+
+
+def _cut(data: np.ndarray, low: int, high: int) -> int:
+    """The last place in (low, high) where both splitters begin a piece whatever stands around; 0 if there is none.
+
+    That is a blank between two visible ASCII signs, or a letter's end before a number or a sign that is
+    not white.
+    """
+    part = data[low:high]
+    seen = (part > 32) & (part < 128)
+    at = np.flatnonzero((part[1:-1] == 32) & seen[:-2] & seen[2:])
+    if len(at):
+        return low + int(at[-1]) + 1
+    first = np.flatnonzero((part & 0xC0) != 0x80)
+    if len(first) < 3:
+        return 0
+    points = np.frombuffer(part[first[0] : first[-1]].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    group = char_groups()[points]
+    at = np.flatnonzero((group[:-1] == LETTER) & ((group[1:] == OTHER) | (group[1:] == NUMBER)))
+    return low + int(first[at[-1] + 1]) if len(at) else 0
+
+
+def chunks(texts: Texts, size: int = CHUNK) -> Iterator[Texts]:
+    """The texts themselves, or where they are one long text its parts, cut where a piece begins."""
+    if texts.rows != 1 or texts.size <= 2 * size:
+        yield texts
+        return
+    begin, data = 0, texts.bytes[: texts.size]
+    while begin < texts.size:
+        end = begin + size
+        cut = texts.size
+        while end < texts.size:
+            found = _cut(data, max(begin, end - WINDOW), end) or _cut(data, begin, end)
+            if found > begin:
+                cut = found
+                break
+            end += size  # one piece goes through the whole chunk
+        part = Texts([])
+        part.rows, part.size = 1, cut - begin
+        part.offsets = np.array([0, part.size])
+        part.bytes = np.zeros(part.size + 32, np.uint8)
+        part.bytes[: part.size] = data[begin:cut]
+        yield part
+        begin = cut

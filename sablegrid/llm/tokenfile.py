@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import blocks
 from .library import library_tokens, with_end
 from .session import new_path, stage
 
+KINDS = ("ids", "off", "doc")
+
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
@@ -42,7 +45,7 @@ def write_token_files(df: DataFrame, path: str, folder: str, end: int = 0, id_co
     ``folder`` is a URI that driver and executors share. Returns the index: ``dtype``, ``parts`` as
     [part, documents, tokens, base], ``tokens`` and ``documents``; it is also written as
     ``index.json``. Null and empty texts are their end id alone; null ids come first; repeated ids
-    stand beside each other in any order; an empty table makes an index without parts.
+    stand beside each other by the text's hash; an empty table makes an index without parts.
     """
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType())])
 
@@ -50,6 +53,14 @@ def write_token_files(df: DataFrame, path: str, folder: str, end: int = 0, id_co
         library, task = library_tokens(path), TaskContext.get()
         files, root = _file_system(folder)
         name, own = f"{root}/part-{task.partitionId():05d}", f"{root}/.attempt-{task.taskAttemptId()}"
+        try:
+            yield from attempt(batches, library, files, name, own, task.partitionId())
+        finally:  # what a failed attempt left
+            for kind in KINDS:
+                if files.get_file_info(f"{own}.{kind}").type == pafs.FileType.File:
+                    files.delete_file(f"{own}.{kind}")
+
+    def attempt(batches, library, files, name: str, own: str, part: int) -> Iterator[pa.RecordBatch]:
         offsets, docs, total = [np.zeros(1, "<i8")], [], 0
         with files.open_output_stream(f"{own}.ids") as out:
             for batch in blocks(batches, text_col):
@@ -59,20 +70,19 @@ def write_token_files(df: DataFrame, path: str, folder: str, end: int = 0, id_co
                 docs.append(batch.select([id_col]))
                 total += int(bounds[-1])
         if not docs:
-            files.delete_file(f"{own}.ids")
             return
         with files.open_output_stream(f"{own}.off") as out:
             out.write(np.concatenate(offsets).astype("<i8"))
         with files.open_output_stream(f"{own}.doc") as out, pa.ipc.new_file(out, docs[0].schema) as writer:
             for d in docs:
                 writer.write_batch(d)
-        for kind in ("ids", "off", "doc"):
+        for kind in KINDS:  # every attempt writes the same files, so it does not matter whose stands there
             files.move(f"{own}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([sum(len(d) for d in docs)]), pa.array([total])], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sum(len(d) for d in docs)]), pa.array([total])], names=schema.names)
 
     files, root = _file_system(folder)
     files.create_dir(root)
-    ordered = df.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    ordered = df.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, F.xxhash64(text_col), text_col)
     written = sorted(map(tuple, stage(ordered.mapInArrow(run, schema), "token-files").collect()))  # one row for each file
     bases = np.cumsum([0, *(tokens for _, _, tokens in written)]).tolist()
     index = {"dtype": library_tokens(path).dtype.str, "parts": [[*w, b] for w, b in zip(written, bases, strict=False)], "tokens": bases[-1], "documents": sum(w[1] for w in written)}

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from .bpe import PieceCache
 from .flat import Texts
-from .pretoken import spaced_pieces, word_pieces
+from .pretoken import chunks, spaced_pieces, word_pieces
 
 
 class LibraryTokens:
@@ -51,9 +51,11 @@ class LibraryTokens:
                     odd[i], listed[i] = self._whole(text), ""
             texts = Texts(listed)
         if self.words:
-            listed = texts.bytes[: texts.size].tobytes()
-            ends = texts.offsets.tolist()
-            texts = Texts([self.library.normalizer.normalize_str(listed[a:b].decode("utf-8")) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            normal = []
+            for part in chunks(texts):  # parts of one long text, or all texts
+                listed, ends = part.bytes[: part.size].tobytes(), part.offsets.tolist()
+                normal += [self.library.normalizer.normalize_str(listed[a:b].decode("utf-8")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = Texts(normal if texts.rows == len(normal) else ["".join(normal)])
         ids, bounds = self.cache.tokens(texts, self.split)
         if odd:
             parts = [odd.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]

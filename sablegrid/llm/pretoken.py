@@ -9,6 +9,8 @@ import numpy as np
 from .flat import LETTER, NUMBER, OTHER, SPACE, Texts, char_groups
 
 CHUNK = 4 << 20  # bytes of a long text that are split at a time
+#: Code points of signs that never combine with what stands before them.
+PUNCTUATION = ((0x21, 0x7E), (0x2010, 0x2027), (0x3001, 0x3029), (0xFF01, 0xFF0F))
 WINDOW = 1 << 16  # bytes before a chunk's end in which a cut is looked for first
 
 
@@ -89,8 +91,8 @@ def word_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _cut(data: np.ndarray, low: int, high: int) -> int:
     """The last place in (low, high) where both splitters begin a piece whatever stands around; 0 if there is none.
 
-    That is a blank between two visible ASCII signs, or a letter's end before a number or a sign that is
-    not white.
+    That is a blank between two visible ASCII signs, or a letter's end before a number or punctuation.
+    What follows joins with nothing before it, so texts may be cut there before they are normalized.
     """
     part = data[low:high]
     seen = (part > 32) & (part < 128)
@@ -102,7 +104,10 @@ def _cut(data: np.ndarray, low: int, high: int) -> int:
         return 0
     points = np.frombuffer(part[first[0] : first[-1]].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     group = char_groups()[points]
-    at = np.flatnonzero((group[:-1] == LETTER) & ((group[1:] == OTHER) | (group[1:] == NUMBER)))
+    plain = np.zeros(len(points), bool)
+    for a, b in PUNCTUATION:
+        plain |= (points >= a) & (points <= b)
+    at = np.flatnonzero((group[:-1] == LETTER) & plain[1:] & ((group[1:] == OTHER) | (group[1:] == NUMBER)))
     return low + int(first[at[-1] + 1]) if len(at) else 0
 
 

@@ -167,7 +167,9 @@ def _to_blocks(ranges: DataFrame, bits: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
-    twice = ranges.repartition("range").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.repartitionById(tasks, F.shiftright(F.col("range").cast("long") * tasks, bits).cast("int"))  # neighbours go to one task
+    twice = dealt.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
     return twice.sortWithinPartitions("range", "turn").mapInArrow(run, schema)
 
 
@@ -447,7 +449,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     filled = signed.where("n > 0 and doc is not null")
     classes = stage(filled.groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep")), "jaccard-classes")
     docs = df.select(id_col, text_col).join(classes.select(F.col("rep").alias(id_col)).hint("merge"), id_col, "left_semi")
-    bits = max(KEY_BITS - 48, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    bits = max(KEY_BITS - 48, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))  # a range or two for a task
     with arrow_rows(spark, ROWS):
         sets = stage(_candidates(_to_blocks(_to_ranges(docs, bits, id_col, text_col, words), bits), percent), "jaccard-candidates")
     labels = None if sets.isEmpty() else _near_components(sets, percent)

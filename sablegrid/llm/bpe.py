@@ -262,7 +262,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, cached = _encoder(path)
-        for batch in blocks(batches, text_col, 2 * BLOCK_BYTES):
+        for batch in blocks(batches, text_col, 4 * BLOCK_BYTES):
             ids, bounds = cached.tokens(Texts(batch.column(text_col)), spaced_pieces)
             sha, back, raw_ids, raw = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 

@@ -2,9 +2,12 @@
 
 A model holds for each learned language the scripts its words use and scores of hashed letter
 sequences of one to four bytes, fitted on a bounded sample of labelled documents. In a text, the
-script of a word leaves the languages that use it as candidates; each candidate's score is the
-word's log likelihood. The best path through the words, which pays a penalty for each change of
-language, labels every word, and so spans of mixed text; the language of most letters is the text's.
+script of a word narrows the candidates to the languages that use it; the others cannot hold the word.
+Each candidate's score is the word's log likelihood, computed once for each distinct word of a block.
+The best path through the words, which pays a penalty for each change of language, labels every word,
+and so spans of mixed text; the language of most letters is the text's. Long texts are cut into chunks
+whose best-path maps are computed side by side and then composed, so a text of a million words takes
+no more steps than many short ones.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import LETTER, U64, Texts, _mix, blocks, char_groups, sums_by
+from .flat import LETTER, U64, Texts, _mix, blocks, char_groups, hash_ranges, sums_by
 
-SAMPLE = 3000  # labelled documents that the model is fitted on, the first by a hash of the id
+SAMPLE = 3000  # labelled documents that the model is fitted on, as many of each language, the first by a hash
+SAMPLE_CHARS = 20_000  # of a sampled text that are read; SAMPLE and this bound what the driver holds
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SWITCH = 8.0  # penalty of a change of language, in nats
 CLIP = 6.0  # most that one word may count for one language against another, in nats
+NEVER = -1e6  # score of a language that does not use the word's script
+CHUNK = 128  # words of a text that are labelled in one go
 #: First code points of script ranges, in order; what lies between two belongs to the first of them.
 SCRIPTS = {"latin": 0x0, "greek": 0x370, "cyrillic": 0x400, "armenian": 0x530, "hebrew": 0x590, "arabic": 0x600, "syriac": 0x700, "indic": 0x900, "thai": 0xE00, "lao": 0xE80, "tibetan": 0xF00, "burmese": 0x1000, "georgian": 0x10A0, "jamo": 0x1100, "ethiopic": 0x1200, "other": 0x1380, "latin ": 0x1E00, "greek ": 0x1F00, "other ": 0x2000, "kana": 0x3040, "han": 0x3400, "other  ": 0xA000, "hangul": 0xAC00, "other   ": 0xD7B0, "han ": 0xF900, "other    ": 0xFB00, "han  ": 0x20000, "other     ": 0x30000}
 _NAMES = sorted({s.strip() for s in SCRIPTS})
@@ -61,12 +67,19 @@ class Words:
         mask = np.repeat(inside[1:-1], np.diff(at)) if len(points) else np.empty(0, bool)
         self.bytes[1 : texts.size + 1][mask] = texts.bytes[: texts.size][mask]
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of every distinct word, by a 64-bit hash within the block, and of each word its number."""
+        hashes = hash_ranges(self.texts.words8, self.starts, self.ends - self.starts)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        return first, inverse
+
+    def features(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashed sequences at every byte from the blank before a word to its last, one column an order; and words' bounds."""
-        sizes = self.ends - self.starts + 1
+        starts, ends = self.starts[of], self.ends[of]
+        sizes = ends - starts + 1
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(bounds[-1]) + np.repeat(self.starts - bounds[:-1], sizes)  # shifted by the leading blank
-        left = np.repeat(self.ends + 2, sizes) - at
+        at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)  # shifted by the leading blank
+        left = np.repeat(ends + 2, sizes) - at
         eight = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))[at]
         columns = []
         for k in ORDERS:
@@ -91,7 +104,7 @@ class Model:
             own = [t for t, g in zip(texts, langs, strict=True) if g == lang]
             for part in (own[i : i + 200] for i in range(0, len(own), 200)):
                 words = Words(pa.array(part, pa.large_string()))
-                features, _ = words.features()
+                features, _ = words.features(np.arange(len(words.starts)))
                 counts[k] += np.bincount(features.ravel(), minlength=BUCKETS + 1)[:BUCKETS]
                 scripts[k] += np.bincount(words.script, minlength=len(_NAMES))
         share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
@@ -100,57 +113,100 @@ class Model:
         return cls(languages, weights, scripts >= 0.01 * np.maximum(scripts.sum(1, keepdims=True), 1))
 
     def word_scores(self, words: Words) -> np.ndarray:
-        """Log likelihoods of the words, at most ``CLIP`` below the best; languages without the script get twice that."""
-        features, bounds = words.features()
-        scores = np.zeros((len(words.starts), len(self.languages)), np.float32)
-        if len(scores):
-            for row in features:
-                scores += np.add.reduceat(self.weights[row], bounds[:-1], axis=0)
-            scores -= scores.max(1, keepdims=True)
-            np.maximum(scores, -CLIP, out=scores)
-            allowed = self.scripts.T[words.script]
-            known = allowed.any(1)
-            scores[~known] = 0
-            scores[known[:, None] & ~allowed] = -2 * CLIP
-            scores -= scores.max(1, keepdims=True)
-        return scores
+        """Log likelihoods of the words, at most ``CLIP`` below the best; ``NEVER`` for languages without the script."""
+        if not len(words.starts):
+            return np.zeros((0, len(self.languages)), np.float32)
+        of, number = words.distinct()
+        features, bounds = words.features(of)
+        scores = np.zeros((len(of), len(self.languages)), np.float32)
+        for row in features:
+            scores += np.add.reduceat(self.weights[row], bounds[:-1], axis=0)
+        allowed = self.scripts.T[words.script[of]]
+        known = allowed.any(1)
+        scores[known[:, None] & ~allowed] = NEVER
+        scores -= scores.max(1, keepdims=True)
+        scores[scores > NEVER / 2] = np.maximum(scores[scores > NEVER / 2], -CLIP)
+        scores[~known] = 0
+        return scores[number]
 
     def path(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The best label of every word; texts go side by side, the longest first."""
-        length = np.diff(bounds)
+        """The best label of every word.
+
+        Chunks go side by side, word by word. First each chunk that another one follows gets its map from
+        the label before it to the best score of each label at its end; a scan over a text's chunks
+        composes them to the scores before each chunk. Then all chunks run forward from these, and back
+        from every label at their end; a scan from the last chunk on tells which of them holds.
+        """
+        k = scores.shape[1]
+        chunks = np.maximum(-(-np.diff(bounds) // CHUNK), 0)
+        n = int(chunks.sum())
+        text = np.repeat(np.arange(len(chunks)), chunks)
+        place = np.arange(n) - np.repeat(np.cumsum(chunks) - chunks, chunks)  # of a chunk in its text
+        first = bounds[:-1][text] + CHUNK * place
+        length = np.minimum(CHUNK, bounds[1:][text] - first)
+        entry = np.zeros((n, k), np.float32)
+        followed = np.flatnonzero(place < chunks[text] - 1)  # all of full length
+        if len(followed):
+            maps = np.full((k, k, len(followed)), NEVER, np.float32)  # from a label, to a label, of a chunk
+            maps[np.arange(k), np.arange(k)] = 0
+            for t in range(CHUNK):
+                maps = np.maximum(maps, maps.max(1, keepdims=True) - SWITCH) + scores[first[followed] + t].T[None]
+            order = np.argsort(place[followed], kind="stable")
+            cuts = np.searchsorted(place[followed][order], np.arange(int(place.max()) + 1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[a:b]
+                after = (entry[followed[at]].T[:, None, :] + maps[:, :, at]).max(0).T
+                entry[followed[at] + 1] = after - after.max(1, keepdims=True)
         order = np.argsort(-length, kind="stable")
-        first, length = bounds[:-1][order], length[order]
-        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()
-        label = np.zeros(len(scores), np.int8)
-        stay = np.zeros(scores.shape, bool)
-        top = np.zeros(len(scores), np.int8)  # the best label before each word
-        best = np.zeros((len(first), scores.shape[1]), np.float32)
-        for t, n in enumerate(active):
-            now = best[:n]
-            peak = now.max(1, keepdims=True)
-            top[first[:n] + t] = now.argmax(1)
+        begin, best = first[order], entry[order]
+        active = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), "left").tolist()
+        stay, top = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int8)  # top: the best label before each word
+        for t, m in enumerate(active):
+            now = best[:m]
+            top[begin[:m] + t] = which = now.argmax(1)
+            peak = now[np.arange(m), which][:, None]
             keep = now >= peak - SWITCH
-            stay[first[:n] + t] = keep
-            best[:n] = np.where(keep, now, peak - SWITCH) - peak + scores[first[:n] + t]
-        state = best.argmax(1).astype(np.int8)
+            stay[begin[:m] + t] = keep
+            best[:m] = np.where(keep, now, peak - SWITCH) - peak + scores[begin[:m] + t]
+        back = np.tile(np.arange(k, dtype=np.int8), (n, 1))  # the label at this place for each label at the chunk's end
+        labels = np.zeros((len(scores), k), np.int8)
         for t in range(len(active) - 1, -1, -1):
-            at, now = first[: active[t]] + t, state[: active[t]]
-            label[at] = now
-            state[: active[t]] = np.where(stay[at, now], now, top[at])
-        return label
+            at, now = begin[: active[t]] + t, back[: active[t]]
+            labels[at] = now
+            back[: active[t]] = np.where(np.take_along_axis(stay[at], now.astype(np.intp), 1), now, top[at][:, None])
+        where = np.argsort(order)
+        back, last = back[where], best[where].argmax(1)
+        deep = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[deep], np.arange(int(place.max(initial=0)) + 2)).tolist()
+        for depth in range(len(cuts) - 2, 0, -1):  # the label before a chunk is the last one of the chunk before
+            at = deep[cuts[depth] : cuts[depth + 1]]
+            last[at - 1] = back[at, last[at]]
+        return labels[np.arange(len(scores)), np.repeat(last, length)]
+
 
+def sample_rows(df: DataFrame, label_col: str, by: list[str], size: int) -> DataFrame:
+    """At most about ``size`` rows, as many of each label, the first by a hash of the columns ``by``.
 
-def sample_ids(df: DataFrame, id_col: str, label_col: str, size: int) -> dict:
-    """Ids and labels of at most ``size`` rows, the first by a hash of the id."""
-    rows = df.where(F.col(id_col).isNotNull()).select(id_col, label_col).orderBy(F.xxhash64(id_col), id_col).limit(size).collect()
-    return {r[0]: r[1] for r in rows}
+    Labels are counted, and a row is taken when its hash lies below its label's share, so that rare
+    labels are taken whole. Adds ``_weight``, the rows that a taken one stands for.
+    """
+    counts = df.groupBy(label_col).count().collect()  # one row a label
+    quota = max(1, size // max(1, len(counts)))
+    shares = {r[0]: min(1.0, quota / r[1]) for r in counts}
+    share = F.lit(0.0)
+    for value, s in shares.items():
+        share = F.when(F.col(label_col) == value, F.lit(s)).otherwise(share)
+    part = F.pmod(F.xxhash64(*by), F.lit(1 << 30)) / float(1 << 30)
+    return df.withColumn("_share", share).where(part < F.col("_share")).withColumn("_weight", 1 / F.col("_share")).drop("_share").limit(2 * size + 100)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> Model:
-    """Fit on at most ``size`` documents that are not held out and have a text and a language."""
+    """Fit on about ``size`` documents that are not held out and have a text and a language.
+
+    Languages share the sample equally; of each text the first ``SAMPLE_CHARS`` characters are read.
+    """
     train = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    ids = sample_ids(train, id_col, lang_col, size)
-    rows = train.where(F.col(id_col).isin(list(ids))).select(text_col, lang_col).collect() if ids else []
+    rows = sample_rows(train.select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias(text_col), lang_col), lang_col, [id_col, text_col], size).select(text_col, lang_col).collect()
     return Model.fit([r[0] for r in rows], [r[1] for r in rows])
 
 

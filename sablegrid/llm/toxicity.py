@@ -2,13 +2,17 @@
 
 A word transducer maps words to signs: insult and threat stems, targets (whom it is said of),
 negations and reported speech; other words to a plain sign. Stems and their weights are learned from
-labelled documents. Over the signs of a clause, modifier automata run from left to right and mark
-whether a negation or a reporting verb governs the place and whether a target stands near; composed
-with the insult and threat transducers they give each match its form. A clause scores the sum of its
-matches' stem weights, each times its form's weight; a document's score is the logistic value of what
-its clauses say, on a scale fitted to the labels. An insult with
-no target, negation or report near it keeps its stem's whole weight, so where there are few others the
-score is a weighted count of stems.
+labelled documents. Four clause transducers rewrite signs, each a table of (state, sign) to (state,
+sign): a negation erases the matches that it governs, a reporting verb those that follow it in the
+clause, a target near a match aims it, and a match that stands among other words is asserted. They are
+composed into one table that reads clauses from left to right, and the last two into one that reads
+them from right to left, for targets and words that come after. What is neither aimed nor asserted at
+the end, a word that is a clause by itself, counts nothing. A document's score is the logistic value of
+its clauses' matches by form, with weights fitted to the labels.
+
+Texts are read as one stream of signs with an end after each clause, cut into chunks that run side by
+side. An end brings every state back to the first, so only chunks without one need a map of all states;
+a prefix scan composes these.
 """
 
 from __future__ import annotations
@@ -23,30 +27,102 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import LETTER, Texts, blocks, char_groups, hash_ranges
-from .langid import held_out, sample_ids
+from .langid import held_out, sample_rows
 
-SAMPLE = 4000  # labelled documents that the grammar is fitted on, the first by a hash of the id
+SAMPLE = 4000  # labelled documents that the grammar is fitted on, as many of each label, the first by a hash of the id
+SAMPLE_CHARS = 20_000  # of a sampled text that are read; SAMPLE and this bound what the driver holds
 STEM = 10  # longest stem in letters
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 20.0  # a stem's toxic documents, their share, and its odds
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_ODDS = 3, 0.02, 20.0  # a stem's toxic documents, their share, and its odds
 # Seed words of the grammar, in the corpus's four languages.
 THREATS = "kill killing hurt destroy beat burn stab shoot strangle punish töten umbringen verprügeln tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yourself he she they them him her his their this that these those who du dich dein ihr euch euer sie er dieser diese tu te toi ton vous votre il elle ils cette ce tú usted ustedes él ella ellos este esta".split()
 NEGATIONS = "not no never neither nor without nicht kein keine nie niemals ohne ne pas jamais aucun sans nunca ni tampoco sin".split()
 REPORTS = "said says say told tells wrote writes claimed claims quoted quotes reported reports called sagte sagt schrieb behauptet dit disait écrit affirme dijo dice escribió afirma".split()
-PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-FORMS = ("plain", "aimed", "negated", "reported", "threat", "aimed_threat")
-FORM_WEIGHTS = np.array([1.0, 1.2, 0.6, 0.6, 0.3, 1.0])
+# Signs of words, of a clause's end, and of what the clause transducers make of matches.
+PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, END, ASSERTED_INSULT, AIMED_INSULT, ASSERTED_THREAT, AIMED_THREAT = range(11)
+SIGNS = 11
+FORMS = {"asserted": ASSERTED_INSULT, "aimed": AIMED_INSULT, "asserted_threat": ASSERTED_THREAT, "aimed_threat": AIMED_THREAT}
+#: What the fitted weights of the forms, and the bias, are drawn to where labels say little.
+PRIOR = np.array([3.0, 0.5, 1.0, 3.0, -4.0])
 THREAT_WEIGHT = 4.0
 REACH = 3  # words that a negation governs, and that a target may stand away
+CHUNK = 128  # signs that a chunk of the stream holds
+
+
+@dataclass
+class Transducer:
+    """A deterministic transducer over signs: the next state and the sign written, by (state, sign)."""
+
+    to: np.ndarray
+    out: np.ndarray
+
+    @classmethod
+    def of(cls, states: int, step, rewrite: dict[int, int]) -> Transducer:
+        """From ``step(state, sign)``; a clause's end leads to state 0, and in other states ``rewrite`` holds."""
+        to = np.array([[0 if x == END else step(s, x) for x in range(SIGNS)] for s in range(states)], np.uint8)
+        out = np.array([[rewrite.get(x, x) if s else x for x in range(SIGNS)] for s in range(states)], np.uint8)
+        return cls(to, out)
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes."""
+        n = len(other.to)
+        a, b = np.divmod(np.arange(len(self.to) * n), n)
+        written = self.out[a]
+        return Transducer((self.to[a].astype(np.int64) * n + other.to[b[:, None], written]).astype(np.uint8), other.out[b[:, None], written])
+
+    def read(self, signs: np.ndarray) -> np.ndarray:
+        """What is written for a stream of signs from state 0."""
+        n = len(signs)
+        stream = np.full(-(-max(n, 1) // CHUNK) * CHUNK, END, np.uint8)
+        stream[:n] = signs
+        rows = np.ascontiguousarray(stream.reshape(-1, CHUNK).T)
+        chunks = rows.shape[1]
+        state = np.zeros(chunks, np.uint8)
+        for row in rows:
+            state = self.to[state, row]
+        maps = np.repeat(state[:, None], len(self.to), 1)  # right for chunks with an end, whatever the state before
+        through = np.flatnonzero(~(rows == END).any(0))
+        if len(through):
+            all_states = np.tile(np.arange(len(self.to), dtype=np.uint8), (len(through), 1))
+            for row in rows:
+                all_states = self.to[all_states, row[through, None]]
+            maps[through] = all_states
+            step = 1
+            while step < chunks:  # after it, map k leads from the start of the stream through chunk k
+                maps[step:] = np.take_along_axis(maps[step:], maps[:-step].astype(np.intp), 1)
+                step *= 2
+        state = np.append(np.uint8(0), maps[:-1, 0])
+        written = np.empty_like(rows)
+        for t, row in enumerate(rows):
+            written[t], state = self.out[state, row], self.to[state, row]
+        return written.T.ravel()[:n]
+
+
+def _since(sign: int, reach: int, rewrite: dict[int, int]) -> Transducer:
+    """Rewrites within ``reach`` words after a sign."""
+    return Transducer.of(reach + 1, lambda s, x: reach if x == sign else max(s - 1, 0), rewrite)
+
+
+ERASED = dict.fromkeys((INSULT, THREAT), PLAIN)
+AIMED = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT, ASSERTED_INSULT: AIMED_INSULT, ASSERTED_THREAT: AIMED_THREAT}
+ASSERTED = {INSULT: ASSERTED_INSULT, THREAT: ASSERTED_THREAT}
+NEGATED = _since(NEGATION, REACH, ERASED)
+REPORTED = Transducer.of(2, lambda s, x: int(s or x == REPORT), ERASED)
+NEAR_TARGET = _since(TARGET, REACH, AIMED)
+AMONG_WORDS = Transducer.of(2, lambda s, x: 1, ASSERTED)
+FORWARD = NEGATED.then(REPORTED).then(NEAR_TARGET).then(AMONG_WORDS)
+BACKWARD = NEAR_TARGET.then(AMONG_WORDS)
 
 
 @dataclass
 class Clauses:
-    """The words of a block by clause: hashes of their stems of every length, their text and clause."""
+    """The words of a block: the stems of each distinct one, and number, text and place of every one."""
 
-    stems: np.ndarray  # (STEM + 1, words); the last row is the whole word
+    stems: np.ndarray  # (STEM + 1, distinct words): hashes of the stems of every length; the last row is the whole word
+    number: np.ndarray
     row: np.ndarray
-    clause: np.ndarray
+    place: np.ndarray  # in the stream of signs, where an end follows each clause
+    length: int
     rows: int
 
 
@@ -68,10 +144,15 @@ def clauses(column: pa.Array | list) -> Clauses:
     stops = cut.astype(np.int64)
     stops[:-1] += np.isin(points, _CLAUSE_END)
     clause = np.cumsum(stops)[first]
+    place = np.arange(len(first)) + np.cumsum(np.append(0, clause[1:] != clause[:-1]))[: len(first)]
+    whole = hash_ranges(texts.words8, at[first], at[last] - at[first])
+    _, of, number = np.unique(whole, return_index=True, return_inverse=True)
+    row = np.searchsorted(bounds, first, "right") - 1
+    first, last = first[of], last[of]
     stems = [hash_ranges(texts.words8, at[first], at[np.minimum(first + k, last)] - at[first], k) for k in range(1, STEM + 1)]
     for k, h in enumerate(stems):
         h[last - first < k + 1] = 0
-    return Clauses(np.stack([*stems, hash_ranges(texts.words8, at[first], at[last] - at[first])]), np.searchsorted(bounds, first, "right") - 1, clause, texts.rows)
+    return Clauses(np.stack([*stems, whole[of]]), number, row, place, int(place[-1]) + 2 if len(place) else 0, texts.rows)
 
 
 def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -97,53 +178,47 @@ def _seed_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grammar:
-    """The composed transducers and the weights of the forms."""
+    """The word transducer's stems, and the weights of the forms with the bias last."""
 
-    def __init__(self, stems: list[tuple[np.ndarray, np.ndarray]], scale: float, bias: float):
-        self.stems, self.scale, self.bias, self.seeds = stems, scale, bias, _seed_table()
+    def __init__(self, stems: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
+        self.stems, self.weights, self.seeds = stems, weights, _seed_table()
 
     def signs(self, c: Clauses) -> tuple[np.ndarray, np.ndarray]:
         """The sign of every word and the weight of its stem."""
         weight = np.zeros(c.stems.shape[1])
         for table, keys in zip(self.stems, c.stems, strict=True):
             weight = np.maximum(weight, _lookup(table, keys))
-        sign = _lookup(self.seeds, c.stems[STEM]).astype(np.int64)
+        sign = _lookup(self.seeds, c.stems[STEM]).astype(np.uint8)
         sign[weight > 0] = INSULT
         weight[sign == THREAT] = THREAT_WEIGHT
-        return sign, weight
+        return sign[c.number], weight[c.number]
 
     def forms(self, c: Clauses) -> np.ndarray:
         """Sums of the matches' weights by text and form."""
         sign, weight = self.signs(c)
-        n = len(sign)
-        at = np.arange(n)
-        opens = np.ones(n, bool)
-        opens[1:] = c.clause[1:] != c.clause[:-1]
-        begin = np.maximum.accumulate(np.where(opens, at, 0)) if n else at
-
-        def since(kind: int) -> np.ndarray:
-            """Words since the last such sign of the clause; the state of its automaton."""
-            last = np.maximum.accumulate(np.where(sign == kind, at, -1)) if n else at
-            return np.where(last >= begin, at - last, n + REACH)
-
-        negated, reported, aimed = since(NEGATION) <= REACH, since(REPORT) < n, since(TARGET) <= REACH
-        ahead = np.zeros(n, bool)
-        for k in range(1, REACH + 1):
-            ahead[:-k] |= (sign[k:] == TARGET) & (c.clause[k:] == c.clause[:-k])
-        aimed |= ahead
-        form = np.where(sign == THREAT, np.where(aimed, 5, 4), np.where(negated, 2, np.where(reported, 3, np.where(aimed, 1, 0))))
-        hit = np.flatnonzero((sign == INSULT) | (sign == THREAT))
+        stream = np.full(c.length, END, np.uint8)
+        stream[c.place] = sign
+        written = BACKWARD.read(FORWARD.read(stream)[::-1])[::-1][c.place]
         out = np.zeros((c.rows, len(FORMS)))
-        np.add.at(out, (c.row[hit], form[hit]), weight[hit])
+        for k, form in enumerate(FORMS.values()):
+            hit = np.flatnonzero(written == form)
+            out[:, k] = np.bincount(c.row[hit], weight[hit], c.rows)
         return out
 
-    def strength(self, c: Clauses) -> np.ndarray:
-        """What the clauses of a text say together, on a logarithmic scale."""
-        return np.log1p(self.forms(c) @ FORM_WEIGHTS)
-
     def scores(self, c: Clauses) -> np.ndarray:
         """Scores from 0 to 1."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.strength(c) + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_features(self.forms(c)) @ self.weights, -30, 30)))
+
+
+def _features(forms: np.ndarray) -> np.ndarray:
+    """What the clauses of a text say together by form, on a logarithmic scale, and a one for the bias.
+
+    Aimed matches count as asserted ones too, so that aiming adds to a match.
+    """
+    both = forms.copy()
+    both[:, 0] += forms[:, 1]
+    both[:, 2] += forms[:, 3]
+    return np.c_[np.log1p(both), np.ones(len(forms))]
 
 
 FOLDS = 4
@@ -156,22 +231,25 @@ class _Counts:
         self.total = np.stack([np.bincount(fold[toxic == y], minlength=FOLDS) for y in (0, 1)])
         self.least = max(LEAST_DOCUMENTS, LEAST_SHARE * int(self.total[1].sum()))
         self.keys, self.held = [], []
-        base = np.cumsum([0, *(c.rows for c in parts)])[:-1]
+        base = np.cumsum([0, *(c.rows for c in parts)])[:-1].tolist()
+        # Each distinct word of each document once.
+        held_words = [np.unique(np.stack([c.row + first, c.number]), axis=1) for c, first in zip(parts, base, strict=True)]
         for k in range(STEM + 1):
             rows, keys = [], []
-            for c, first in zip(parts, base.tolist(), strict=True):
-                row = c.row + first
-                ill = (toxic[row] == 1) & (c.stems[k] != 0)
-                pair = np.unique(np.stack([row[ill].astype(np.uint64), c.stems[k][ill]]), axis=1)
+            for (row, number), c in zip(held_words, parts, strict=True):
+                stem = c.stems[k][number]
+                ill = (toxic[row] == 1) & (stem != 0)
+                pair = np.unique(np.stack([row[ill].astype(np.uint64), stem[ill]]), axis=1)
                 rows.append(pair[0].astype(np.int64))
                 keys.append(pair[1])
             known, n = np.unique(np.concatenate(keys), return_counts=True)
             known = known[n >= LEAST_DOCUMENTS]
             held = np.zeros((2, FOLDS, len(known)), np.int64)
-            for c, first in zip(parts, base.tolist(), strict=True) if len(known) else []:
-                at = np.minimum(np.searchsorted(known, c.stems[k]), len(known) - 1)
-                hit = known[at] == c.stems[k]
-                row, at = np.unique(np.stack([c.row[hit] + first, at[hit]]), axis=1)
+            for (row, number), c in zip(held_words, parts, strict=True) if len(known) else []:
+                stem = c.stems[k][number]
+                at = np.minimum(np.searchsorted(known, stem), len(known) - 1)
+                hit = known[at] == stem
+                row, at = np.unique(np.stack([row[hit], at[hit]]), axis=1)
                 np.add.at(held, (toxic[row], fold[row], at), 1)
             self.keys.append(known)
             self.held.append(held)
@@ -189,40 +267,49 @@ class _Counts:
         return found
 
 
-def fit(texts: list[str], labels: list[int]) -> Grammar:
-    """Learn the stems and the scale of the score; without both labels every score is 0."""
+def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> Grammar:
+    """Learn the stems and the weights of the forms; without both labels every score is 0.
+
+    ``weights`` say how many documents each one stands for.
+    """
     toxic = np.array(labels, np.int64)
     if len(set(labels)) < 2:
-        return Grammar([_table({})] * (STEM + 1), 1.0, -30.0)
+        return Grammar([_table({})] * (STEM + 1), np.array([0.0] * len(FORMS) + [-30.0]))
     parts = [clauses(pa.array(texts[i : i + 200], pa.large_string())) for i in range(0, len(texts), 200)]
     fold = np.arange(len(texts)) % FOLDS
     counts = _Counts(parts, toxic, fold)
-    x = np.zeros(len(texts))
-    for k in range(FOLDS):  # the scale is fitted on documents whose stems were learned from others
-        grammar = Grammar(counts.stems(k), 1.0, 0.0)
-        own = np.concatenate([grammar.strength(c) for c in parts])
-        x[fold == k] = own[fold == k]
-    a = np.c_[x, np.ones(len(x))]
-    prior = np.array([3.0, -4.0])
-    w = prior.copy()
-    for _ in range(40):  # Newton steps of a logistic fit drawn to the prior
+    forms = np.zeros((len(texts), len(FORMS)))
+    for k in range(FOLDS):  # the weights are fitted on documents whose stems were learned from others
+        grammar = Grammar(counts.stems(k), PRIOR)
+        own = np.concatenate([grammar.forms(c) for c in parts])
+        forms[fold == k] = own[fold == k]
+    a, w = _features(forms), PRIOR.copy()
+    stands = np.ones(len(texts)) if weights is None else np.array(weights) / np.mean(weights)
+    for _ in range(60):  # Newton steps of a logistic fit drawn to the prior; no match speaks against toxicity
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.eye(2), a.T @ (p - toxic) + w - prior)
-    return Grammar(counts.stems(), float(max(w[0], 0.0)), float(w[1]))
+        w -= np.linalg.solve(a.T @ (a * (stands * p * (1 - p))[:, None]) + np.eye(len(w)), a.T @ (stands * (p - toxic)) + w - PRIOR)
+        w[:-1] = np.maximum(w[:-1], 0.0)
+    return Grammar(counts.stems(), w)
 
 
 def fit_grammar(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = SAMPLE) -> Grammar:
-    """Fit on at most ``size`` labelled documents that are not held out (crc32 of the id mod 5 is 0)."""
-    train = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col, 5, 0)).select(id_col, label_col)
-    ids = sample_ids(train, id_col, label_col, size)
-    rows = df.where(F.col(id_col).isin(list(ids))).select(id_col, text_col).orderBy(id_col).collect() if ids else []
-    return fit([r[1] or "" for r in rows], [int(ids[r[0]]) for r in rows])
+    """Fit on about ``size`` labelled documents that are not held out (crc32 of the id mod 5 is 0).
+
+    Both labels share the sample; an id with both labels is toxic. Of each text the first
+    ``SAMPLE_CHARS`` characters are read, of rows that repeat a sampled id at most as many as the sample.
+    """
+    train = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, 5, 0)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    ids = {r[0]: (int(r[1]), r[2]) for r in sample_rows(train, label_col, [id_col], size).select(id_col, label_col, "_weight").collect()}
+    text = F.substring(text_col, 1, SAMPLE_CHARS).alias(text_col)
+    rows = df.where(F.col(id_col).isin(list(ids))).select(id_col, text).limit(2 * len(ids)).collect() if ids else []
+    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    return fit([r[1] or "" for r in rows], [ids[r[0]][0] for r in rows], [ids[r[0]][1] for r in rows])
 
 
 def score_documents(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, held_out, score, predicted) of every text.
 
-    Null and empty texts score as a text without a match. Null ids (not held out) and repeated rows
+    Null and empty texts score as a text without a match, however long ones are read whole. Null ids (not held out) and repeated rows
     stay; other columns are not read; an empty table gives an empty result.
     """
     schema = T.StructType([df.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -197,7 +197,7 @@ def sample_rows(df: DataFrame, label_col: str, by: list[str], size: int) -> Data
     for value, s in shares.items():
         share = F.when(F.col(label_col) == value, F.lit(s)).otherwise(share)
     part = F.pmod(F.xxhash64(*by), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("_share", share).where(part < F.col("_share")).withColumn("_weight", 1 / F.col("_share")).drop("_share").limit(2 * size + 100)
+    return df.withColumn("_share", share).where(part < F.col("_share")).withColumn("_weight", F.try_divide(F.lit(1.0), F.col("_share"))).drop("_share").limit(2 * size + 100)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> Model:

@@ -3,12 +3,17 @@
 Unit vectors whose cosine is c lie sqrt(2 - 2c) apart, and a projection brings no two points further
 apart. Vectors are projected on the leading principal directions, and each gets its cell in a grid
 whose cells are as wide as the largest distance of a link. Sorted by cell, the vectors form one
-sequence, cut into blocks with bounding boxes. Sequence intervals are joined recursively, both
-across the cluster (intervals of blocks, level by level) and inside a pair of blocks (runs of rows):
-a pair of intervals whose boxes are further apart than a link is skipped, others are split until
-blocks are left, which are compared by a matrix product in double precision. A block pair sends back
-one count for each vector and a spanning forest of its links, never the links themselves, so dense
-groups stay small. Equal vectors are one class, joined once and counted by their number.
+sequence, written as pieces with bounding boxes; neighbouring pieces form blocks, an eighth of the
+sequence each as long as that fits a task. Sequence intervals are joined recursively, both across the
+cluster (intervals of blocks, level by level) and inside a pair of blocks (intervals of short runs of
+rows): a pair of intervals whose boxes are further apart than a link is skipped, others are split
+until tiles are left, which are compared by a matrix product in double precision. Only blocks of which
+some runs are near each other are shipped. A block pair sends back one count for each vector and a
+spanning forest of its links, never the links themselves, so dense groups stay small. Equal vectors are
+one class, joined once and counted by their number.
+
+Vectors that spread evenly over many dimensions lie in cells that all touch, so that nothing between
+them is provably distant: there the join compares all tiles, and what the blocks' size saves is shipping.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +33,11 @@ from .flat import U64, _mix
 from .graph import components
 from .session import arrow_rows, stage
 
-DIRECTIONS, FANOUT, RUN = 8, 8, 128
+DIRECTIONS, FANOUT = 8, 8
+RUN, TILE = 64, 8  # rows of a run, which has a box, and runs of a tile, which is compared at once
 SAMPLE = 10_000  # vectors that the principal directions are fitted on; any directions give whole results
-BLOCK_BYTES = 512 << 10
+PIECE_BYTES = 512 << 10  # of the sequence in one row
+BLOCKS, BLOCK_BYTES = 8, 8 << 20  # blocks that the sequence is cut into, or more so that none is larger
 
 
 def _read(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -40,26 +48,25 @@ def _read(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
                 lists = part.column(vec_col).cast(pa.large_list(pa.float64()))
-                ends = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])])
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                raws, dims, sigs = [], [], []
-                for v, a, b in zip(part.column(id_col).is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    x = flat[a:b] + 0.0  # one zero only
-                    size = np.abs(x).max(initial=0.0)
-                    good = v and np.isfinite(x).all() and 0 < size
-                    raws.append(x.tobytes() if good else None)
-                    dims.append(len(x) if good else 0)
-                    bits = x.view(U64)
-                    place = np.arange(len(x), dtype=U64)
-                    sigs.append([int(_mix(bits ^ _mix(place + U64(seed))).sum(dtype=U64).astype(np.int64)) for seed in (1, 1 << 32)])
-                sigs = np.array(sigs, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array(raws, pa.binary())], names=schema.names)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                flat = lists.flatten().to_numpy(zero_copy_only=False) + 0.0  # one zero only; nulls are not finite
+                row, place = np.repeat(np.arange(len(sizes)), sizes), (np.arange(len(flat)) - np.repeat(ends[:-1], sizes)).astype(U64)
+                odd, some = np.bincount(row[~np.isfinite(flat)], minlength=len(sizes)), np.bincount(row[flat != 0], minlength=len(sizes))
+                good = part.column(id_col).is_valid().to_numpy(zero_copy_only=False) & (odd == 0) & (some > 0)
+                sigs = []
+                for seed in (1, 1 << 32):
+                    total = np.concatenate([np.zeros(1, U64), np.cumsum(_mix(flat.view(U64) ^ _mix(place + U64(seed))), dtype=U64)])
+                    sigs.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+                mask = pa.py_buffer(np.packbits(good, bitorder="little"))
+                raws = pa.Array.from_buffers(pa.large_binary(), len(sizes), [mask, pa.py_buffer(8 * ends), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(np.where(good, sizes, 0), pa.int32()), *map(pa.array, sigs), raws], names=schema.names)
 
     return df.select(id_col, vec_col).mapInArrow(run, schema)
 
 
-def _unit(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+def _unit(raws: list[bytes], rows: int | None = None) -> np.ndarray:
+    x = np.frombuffer(b"".join(raws), np.float64).reshape(rows or len(raws), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -86,9 +93,9 @@ def _ordered(classes: DataFrame, directions: np.ndarray, width: float) -> DataFr
     return classes.select("vec", "copies", "raw").mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _blocks(ordered: DataFrame, directions: np.ndarray, dim: int) -> DataFrame:
-    """The sequence as blocks: (part, place, ids, copies, raw, low, high)."""
-    rows = max(RUN, BLOCK_BYTES // (8 * dim))
+def _pieces(ordered: DataFrame, directions: np.ndarray, dim: int) -> DataFrame:
+    """The sequence as pieces: (part, place, ids, copies, raw, low, high); place counts rows of the part before it."""
+    rows = max(RUN, PIECE_BYTES // (8 * dim))
     box = T.ArrayType(T.DoubleType())
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("ids", "copies", "raw")), T.StructField("low", box), T.StructField("high", box)])
 
@@ -106,7 +113,7 @@ def _blocks(ordered: DataFrame, directions: np.ndarray, dim: int) -> DataFrame:
             while sum(map(len, held)) >= rows:
                 table = pa.Table.from_batches(held)
                 yield send(table.slice(0, rows))
-                place, held = place + 1, table.slice(rows).to_batches()
+                place, held = place + rows, table.slice(rows).to_batches()
         if sum(map(len, held)):
             yield send(pa.Table.from_batches(held))
 
@@ -146,59 +153,114 @@ def _labels(joined: np.ndarray, n: int, m: int) -> np.ndarray:
         a, b = new_a, new_b
 
 
-def _join_blocks(x, y, at_x, at_y, same: bool, cosine: float, far: float) -> np.ndarray:
-    """The link matrix of two blocks; runs of rows are joined recursively and distant ones skipped."""
-    links = np.zeros((len(x), len(y)), bool)
-
-    def boxes(at, a, b):
-        return at[a:b].min(0), at[a:b].max(0)
-
-    def join(a, b, c, d):
+def _forest(edges: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """At most n edges (node, smaller node) with the same components."""
+    one, two = np.concatenate(edges, axis=1)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        np.minimum.at(new, one, low)
+        np.minimum.at(new, two, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label != np.arange(n))
+    return [np.stack([node, label[node]])]
+
+
+def _boxes(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high corners of the runs."""
+    starts = np.arange(0, len(at), RUN)
+    return np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+
+
+def _tiles(boxes_x, boxes_y, same: bool, far: float) -> Iterator[tuple[int, int, int, int]]:
+    """Intervals of runs (a, b, c, d) that are not provably distant, joined recursively."""
+    (lx, hx), (ly, hy) = boxes_x, boxes_y
+    todo = [(0, len(lx), 0, len(ly))]
+    while todo:
+        a, b, c, d = todo.pop()
         if same and d <= a:
-            return
-        (la, ha), (lb, hb) = boxes(at_x, a, b), boxes(at_y, c, d)
-        gap = np.maximum(0.0, np.maximum(la - hb, lb - ha))
+            continue
+        gap = np.maximum(0.0, np.maximum(lx[a:b].min(0) - hy[c:d].max(0), ly[c:d].min(0) - hx[a:b].max(0)))
         if (gap * gap).sum() > far * far:
-            return
-        if b - a <= RUN and d - c <= RUN:
-            links[a:b, c:d] = x[a:b] @ y[c:d].T >= cosine
-            return
-        cut = lambda p, q: [(p, q)] if q - p <= RUN else [(p, (p + q) // 2), ((p + q) // 2, q)]
-        for (p, q), (r, s) in itertools.product(cut(a, b), cut(c, d)):
-            join(p, q, r, s)
-
-    join(0, len(x), 0, len(y))
+            continue
+        if b - a <= TILE and d - c <= TILE:
+            yield a, b, c, d
+            continue
+        cut = lambda p, q: [(p, q)] if q - p <= TILE else [(p, (p + q) // 2), ((p + q) // 2, q)]
+        todo += [(p, q, r, t) for (p, q), (r, t) in itertools.product(cut(a, b), cut(c, d))]
+
+
+def _join_blocks(x, y, cx, cy, directions, same: bool, cosine: float, far: float):
+    """Numbers of links of the rows of both blocks (copies counted) and a spanning forest over all rows."""
+    boxes_x = _boxes(x @ directions)
+    boxes_y = boxes_x if same else _boxes(y @ directions)
+    n = len(x)
+    nx, ny, edges, held = np.zeros(n, np.int64), np.zeros(len(y), np.int64), [], 0
+    base = 0 if same else n
+    for a, b, c, d in _tiles(boxes_x, boxes_y, same, far):
+        a, b, c, d = a * RUN, min(b * RUN, n), c * RUN, min(d * RUN, len(y))
+        links = x[a:b] @ y[c:d].T >= cosine
+        if same:  # a tile across the diagonal counts what lies above it
+            links &= np.arange(a, b)[:, None] < np.arange(c, d)
+        if not links.any():
+            continue
+        rows, columns = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+        links = links[np.ix_(rows, columns)]
+        nx[a + rows] += links @ cy[c + columns]
+        ny[c + columns] += cx[a + rows] @ links
+        label, node = _labels(links, len(rows), len(columns)), np.concatenate([a + rows, base + c + columns])
+        tree = np.flatnonzero(label != np.arange(len(label)))
+        edges.append(np.stack([node[tree], node[label[tree]]]))
+        held += len(tree)
+        if held > 1 << 20:
+            edges = _forest(edges, base + len(y))
+            held = edges[0].shape[1]
     if same:
-        links = np.triu(links, 1)
-        links |= links.T
-    return links
+        nx, ny = nx + ny, ny[:0]
+    return nx, ny, _forest(edges, base + len(y))[0] if edges else np.zeros((2, 0), np.int64)
 
 
-def _compare(pairs: DataFrame, blocks: DataFrame, directions: np.ndarray, cosine: float, far: float) -> DataFrame:
-    """Rows (a, n, b): a count of links of a, or a link of the spanning forest where b is set."""
+def _compare(pairs: DataFrame, pieces: DataFrame, directions: np.ndarray, cosine: float, far: float) -> DataFrame:
+    """Rows (a, n, b): a count of links of a, or a link of the spanning forest where b is set.
+
+    Each block goes once to each of its pairs, piece by piece, and every pair is a group of its own.
+    """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("n", T.LongType()), T.StructField("b", T.LongType())])
-    side = lambda s, key: blocks.select(F.col("block").alias(key), *(F.col(c).alias(f"{c}{s}") for c in ("ids", "copies", "raw")))
-    data = pairs.repartition("i", "j").join(side("x", "i"), "i").join(side("y", "j"), "j").select("i", "j", "idsx", "copiesx", "rawx", "idsy", "copiesy", "rawy")
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    wanted = pairs.select("i", "j", F.explode(sides).alias("side")).withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    data = pieces.join(wanted, "block").select("i", "j", "side", "part", "place", "ids", "copies", "raw")
+    data = data.repartition("i", "j").sortWithinPartitions("i", "j", "side", "part", "place")
+
+    def joined(pair: tuple[int, int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for side in (0, 1) if pair[0] != pair[1] else (0,):
+            own = [h[1:] for h in held if h[0] == side]
+            ids, copies = (np.frombuffer(b"".join(h[k] for h in own), "<i8") for k in (0, 1))
+            sides.append((ids, copies, _unit([h[2] for h in own], len(ids))))
+        (ix, cx, x), (iy, cy, y) = sides[0], sides[-1]
+        same = len(sides) == 1
+        nx, ny, (one, two) = _join_blocks(x, y, cx, cy, directions, same, cosine, far)
+        ids = ix if same else np.concatenate([ix, iy])
+        who, n = np.concatenate([ix, iy[: len(ny)]]), np.concatenate([nx, ny])
+        who, n = who[n > 0], n[n > 0]
+        none = np.zeros(len(who), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who, ids[one]])), pa.array(np.concatenate([n, np.zeros(len(one), np.int64)])), pa.array(np.concatenate([none, ids[two]]), mask=np.arange(len(who) + len(one)) < len(who))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
-                ix, cx, iy, cy = (np.frombuffer(row.column(c)[0].as_py(), "<i8") for c in ("idsx", "copiesx", "idsy", "copiesy"))
-                x, y = (np.frombuffer(row.column(c)[0].as_py(), np.float64).reshape(len(i), -1) for c, i in (("rawx", ix), ("rawy", iy)))
-                x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
-                x, y = (v / np.sqrt((v * v).sum(1, keepdims=True)) for v in (x, y))
-                same = row.column("i")[0].as_py() == row.column("j")[0].as_py()
-                links = _join_blocks(x, y, x @ directions, y @ directions, same, cosine, far)
-                if not links.any():
-                    continue
-                nx, ny = links @ cy, np.zeros(0, np.int64) if same else cx @ links
-                label, ids = _labels(links, len(x), len(y)), np.concatenate([ix, iy])
-                tree = np.flatnonzero(label != np.arange(len(label)))
-                who, n = np.concatenate([ix, iy[: len(ny)]]), np.concatenate([nx, ny])
-                who, n = who[n > 0], n[n > 0]
-                a, b = ids[tree], ids[label[tree]]
-                none = np.zeros(len(who), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who, a])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])), pa.array(np.concatenate([none, b]), mask=np.arange(len(who) + len(a)) < len(who))], names=schema.names)
+            for i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "ids", "copies", "raw")), strict=True):
+                if (i, j) != now:
+                    if held:
+                        yield from joined(now, held)
+                    now, held = (i, j), []
+                held.append(tuple(row))
+        if held:
+            yield from joined(now, held)
 
     return data.mapInArrow(run, schema)
 
@@ -224,14 +286,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         directions = _directions(own)
         if directions.shape[1] < DIRECTIONS:
             directions = np.pad(directions, ((0, 0), (0, DIRECTIONS - directions.shape[1])))
-        cut = stage(_blocks(_ordered(own, directions, far), directions, dim), "grid-blocks")
-        parts = sorted(map(tuple, cut.groupBy("part").count().collect()))  # one row for each partition of the sequence
-        bases = dict(zip([p for p, _ in parts], np.cumsum([0, *(n for _, n in parts)]).tolist(), strict=False))
-        first = F.array(*(F.lit(bases.get(p, 0)) for p in range(max(bases) + 1)))
-        cut = cut.withColumn("block", F.get(first, F.col("part").cast("int")) + F.col("place"))
-        pairs = _interval_pairs(cut.select("block", "low", "high"), sum(n for _, n in parts), far)
+        pieces = stage(_pieces(_ordered(own, directions, far), directions, dim), "grid-blocks")
+        parts = sorted(map(tuple, pieces.groupBy("part").agg(F.sum(F.octet_length("ids") / 8).cast("long")).collect()))  # one row for each partition of the sequence
+        total = sum(n for _, n in parts)
+        rows = max(RUN, min(-(-total // BLOCKS), BLOCK_BYTES // (8 * dim)))
+        bases = spark.createDataFrame(zip([p for p, _ in parts], np.cumsum([0, *(n for _, n in parts)]).tolist()), "part long, base long")
+        pieces = pieces.join(F.broadcast(bases), "part").withColumn("block", F.floor((F.col("base") + F.col("place")) / rows)).drop("base")
+        pairs = _interval_pairs(pieces.select("block", "low", "high"), -(-total // rows), far)
         with arrow_rows(spark, 8):
-            near = stage(_compare(pairs, cut, directions, cosine, far), "grid-links")
+            near = stage(_compare(pairs, pieces, directions, cosine, far), "grid-links")
         found = near if found is None else found.union(near)
     if found is None:
         return vectors.select(F.col("vec").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept"))

@@ -222,8 +222,8 @@ def brute(rows, limit=0.9):
 
 
 def test_embeddings_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(epsgrid, "BLOCK_BYTES", 1 << 10)
-    monkeypatch.setattr(epsgrid, "RUN", 8)
+    for name, value in (("PIECE_BYTES", 1 << 10), ("BLOCK_BYTES", 1 << 12), ("RUN", 8)):
+        monkeypatch.setattr(epsgrid, name, value)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     vectors = [(centres[k % 12] + rng.normal(size=16) * rng.choice([0.05, 0.3, 0.6])).tolist() for k in range(500)]
@@ -235,6 +235,22 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert epsgrid.near_vectors(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_one_length_in_large_tiles(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(3, 24))
+    vectors = [(centres[k % 3] + rng.normal(size=24) * (0.02 if k % 2 else 0.4)).tolist() for k in range(900)] + [[0.5] * 24] * 30
+    rows = list(enumerate(vectors))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in epsgrid.near_vectors(df).collect()} == brute(rows)
+
+
+def test_embeddings_of_repeated_and_null_ids(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, n_links int")
+    found = sorted((repr(r.vec_id), r.component_id) for r in epsgrid.near_vectors(df).collect())
+    assert found == [("1", 1), ("2", 1), ("2", 1), ("3", 3), ("None", None)]
+
+
 def test_embeddings_without_valid_rows(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in epsgrid.near_vectors(df).select("vec_id", "n_links", "component_id", F.col("kept")).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}

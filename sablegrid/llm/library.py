@@ -7,6 +7,7 @@ hold one of its special strings go to it whole. Pieces are what its own splitter
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -30,12 +31,31 @@ class LibraryTokens:
         self.split = word_pieces if self.words else spaced_pieces
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache = PieceCache(self._encode, self.dtype)
+        self.plain: np.ndarray | None = None
 
     def _encode(self, pieces: Texts) -> tuple[np.ndarray, np.ndarray]:
         raw, ends = pieces.bytes[: pieces.size].tobytes(), pieces.offsets.tolist()
         found = self.library.encode([raw[a:b].decode("utf-8") for a, b in zip(ends[:-1], ends[1:], strict=True)], is_pretokenized=True, add_special_tokens=False)
         return np.array(found.ids, np.int64), np.bincount(np.array(found.word_ids, np.int64), minlength=pieces.rows)
 
+    def _lowered(self) -> np.ndarray:
+        """Of each code point, whether ``str.lower`` does what the library's normalizer does wherever it stands.
+
+        The library is asked for each one by itself. Marks and jamo, which combine with their neighbours,
+        the sigma, whose form depends on them, and what is beyond the tables are left to the library.
+        """
+        if self.plain is None:
+            points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace() and unicodedata.category(chr(c))[0] != "M"]
+            chars = list(map(chr, points))
+            found = self.library.normalizer.normalize_str(" ".join(chars)).split(" ")
+            self.plain = np.zeros(0x110000, bool)
+            if len(found) == len(chars):
+                self.plain[[c for c, x, y in zip(points, chars, found, strict=True) if x.lower() == y]] = True
+            for a, b in ((0x1100, 0x11FF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF), (0x3A3, 0x3A3)):
+                self.plain[a : b + 1] = False
+            self.plain[[9, 10, 11, 12, 13, 32]] = True  # white space ends a word however it is written
+        return self.plain
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
@@ -54,7 +74,11 @@ class LibraryTokens:
             normal = []
             for part in chunks(texts):  # parts of one long text, or all texts
                 listed, ends = part.bytes[: part.size].tobytes(), part.offsets.tolist()
-                normal += [self.library.normalizer.normalize_str(listed[a:b].decode("utf-8")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                points, _, bounds = part.code_points()
+                plain = np.append(0, np.cumsum(self._lowered()[points]))[bounds]
+                plain = np.diff(plain) == np.diff(bounds)
+                given = (listed[a:b].decode("utf-8") for a, b in zip(ends[:-1], ends[1:], strict=True))
+                normal += [t.lower() if own else self.library.normalizer.normalize_str(t) for t, own in zip(given, plain.tolist(), strict=True)]
             texts = Texts(normal if texts.rows == len(normal) else ["".join(normal)])
         ids, bounds = self.cache.tokens(texts, self.split)
         if odd:

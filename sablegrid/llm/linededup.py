@@ -26,13 +26,16 @@ def _once(df: DataFrame, *values: tuple[str, Column]) -> DataFrame:
 
 
 def _windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (_d_id, _d_hash, _d_window, _d_a, _d_b, _d_c): hash and lines of every window."""
-    filled = F.transform(F.split(text_col, "\n"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(line).alias("h"), i.alias("p"))))
+    """Rows (_d_id, _d_hash, _d_window, _d_check, _d_a, _d_b, _d_c): two hashes and the lines of every window."""
+    filled = F.transform(F.split(text_col, "\n"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"), i.alias("p"))))
     docs = df.select(F.col(id_col).alias("_d_id"), F.xxhash64(text_col).alias("_d_hash"), F.explode(F.array(F.filter(filled, lambda x: x.isNotNull()))).alias("_d_lines"))
-    h, p = F.col("_d_lines.h"), F.col("_d_lines.p")
-    two = F.zip_with(h, F.slice(h, 2, _END), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(two, F.slice(h, 3, _END), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
-    zipped = F.arrays_zip(three.alias("_d_window"), p.alias("_d_a"), F.slice(p, 2, _END).alias("_d_b"), F.slice(p, 3, _END).alias("_d_c"))
+    p = F.col("_d_lines.p")
+
+    def windows(h: Column) -> Column:
+        two = F.zip_with(h, F.slice(h, 2, _END), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(two, F.slice(h, 3, _END), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
+
+    zipped = F.arrays_zip(windows(F.col("_d_lines.h")).alias("_d_window"), windows(F.col("_d_lines.g")).alias("_d_check"), p.alias("_d_a"), F.slice(p, 2, _END).alias("_d_b"), F.slice(p, 3, _END).alias("_d_c"))
     return docs.select("_d_id", "_d_hash", F.inline(zipped)).where("_d_c is not null")
 
 
@@ -44,14 +47,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     (replacing columns of these names). Empty lines neither form windows nor go. Null texts stay
     null with 0 lines; an empty text is one line. Rows equal in id and text are one document: each
     keeps or loses the same lines. Other columns may have any names but those of the prefix ``_d_``;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Windows are told apart by two 64-bit hashes, texts of one id by
+    one.
     """
     text = F.col(text_col)
     windows = _windows(df, id_col, text_col)
     here = F.struct("_d_id", "_d_hash", "_d_a")
-    seen = windows.groupBy("_d_window").agg(F.count(F.lit(1)).alias("_d_count"), F.min(here).alias("_d_first"))
-    repeated = stage(seen.where("_d_count > 1").select("_d_window", "_d_first"), "line-windows")
-    later = windows.join(repeated.hint("merge"), "_d_window").where(~here.eqNullSafe(F.col("_d_first")))
+    seen = windows.groupBy("_d_window", "_d_check").agg(F.count(F.lit(1)).alias("_d_count"), F.min(here).alias("_d_first"))
+    repeated = stage(seen.where("_d_count > 1").select("_d_window", "_d_check", "_d_first"), "line-windows")
+    later = windows.join(repeated.hint("merge"), ["_d_window", "_d_check"]).where(~here.eqNullSafe(F.col("_d_first")))
     merged = later.groupBy("_d_id", "_d_hash").agg(F.array_distinct(F.flatten(F.collect_set(F.array("_d_a", "_d_b", "_d_c")))).alias("_d_covered"))
     merged = stage(merged.select(F.col("_d_id").alias("_d_key"), F.col("_d_hash").alias("_d_key_hash"), "_d_covered"), "line-covers")
     rows = df.withColumn("_d_hash", F.xxhash64(text))

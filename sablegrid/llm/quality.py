@@ -22,10 +22,9 @@ from pyspark.sql import types as T
 from .flat import U64, Texts, _mix, ascii_words, blocks, hash_ranges, line_spans, sums_by
 from .session import stage
 
-#: A line is above the limits when more different documents of its host hold it than both of these say.
-MIN_DOCUMENTS, HOST_SHARE = 20, 0.05
-#: With ``either``, one of both is enough, and the share counts from so many documents on.
-SHARE_FROM = 3
+#: A line is above the limits when more different documents of its host hold it than the first says, or
+#: more than this share of them, at least the third: large and small hosts are judged alike.
+MIN_DOCUMENTS, HOST_SHARE, SHARE_FROM = 20, 0.05, 3
 #: A document is depleted when less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -93,12 +92,11 @@ def text_figures(texts: Texts) -> dict[str, np.ndarray]:
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: bool = False, either: bool = False) -> DataFrame:
+def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: bool = False) -> DataFrame:
     """Judge every document by the lines that its host repeats.
 
     Returns one row per input row: ``id_col``, the base counts, ``base_failed``, ``n_removed_words``
-    (in lines above the limits) and ``kept``. With ``either`` a line goes above one of both limits, so
-    that small hosts and hot ones are judged too. With ``keep`` all columns of ``df`` come instead, the text
+    (in lines above the limits) and ``kept``. With ``keep`` all columns of ``df`` come instead, the text
     without the removed lines, and the results with the prefix ``_q_``. Null and empty texts have no
     words and fail the base rules. Documents without a host form one host. Repeated rows are judged
     alike; ids may be null or repeat; only three columns are read, and own ones carry the prefix
@@ -123,10 +121,10 @@ def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = judged.select("_q_id", F.col("_q_host").alias("host"), "_q_hash", line).select("_q_id", "host", "_q_hash", "line.*")
     # Distinct documents of a line: texts are made distinct first, then counted; both are combined in the tasks.
     many, least = F.col("documents") > MIN_DOCUMENTS, F.col("documents") >= SHARE_FROM
-    held = lines.groupBy("host", "key", "_q_hash").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("one").alias("documents")).where(many | least if either else many)
+    held = lines.groupBy("host", "key", "_q_hash").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("one").alias("documents")).where(many | least)
     hosts = judged.select(F.col("_q_host").alias("host"), "_q_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     share = F.col("documents") > HOST_SHARE * F.col("of")
-    frequent = stage(held.join(hosts, "host").where(many | (least & share) if either else share).select("host", "key"), "quality-lines")
+    frequent = stage(held.join(hosts, "host").where(many | (least & share)).select("host", "key"), "quality-lines")
     hit = lines.select("_q_id", "host", "key", "words", "place").join(frequent, ["host", "key"])
     removed = hit.groupBy("_q_id").agg(F.sum("words").alias("_q_removed"), F.collect_set("place").alias("_q_gone"))
     out = judged.drop(*lists).join(removed, "_q_id", "left")
@@ -164,7 +162,7 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c)
 reps AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
 held AS (SELECT source, k, count(DISTINCT t) AS n FROM filled GROUP BY ALL),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM words GROUP BY ALL),
-frequent AS (SELECT held.source, k FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.n > {MIN_DOCUMENTS} AND held.n > {HOST_SHARE} * hosts.n),
+frequent AS (SELECT held.source, k FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.n > {MIN_DOCUMENTS} OR (held.n >= {SHARE_FROM} AND held.n > {HOST_SHARE} * hosts.n)),
 gone AS (SELECT r, sum(n)::BIGINT AS n FROM filled f JOIN frequent q ON f.k = q.k AND f.source IS NOT DISTINCT FROM q.source GROUP BY r),
 figures AS (
   SELECT doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
@@ -175,6 +173,3 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {LEAST_LEFT} * n_words AS kept
 FROM figures
 """
-
-#: The rows with ``either``.
-SQL_EITHER = SQL.replace(f"held.n > {MIN_DOCUMENTS} AND held.n > {HOST_SHARE} * hosts.n", f"held.n > {MIN_DOCUMENTS} OR (held.n >= {SHARE_FROM} AND held.n > {HOST_SHARE} * hosts.n)")

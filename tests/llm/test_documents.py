@@ -69,15 +69,15 @@ def test_quality_equals_sql_and_definition(docs):
         assert (q.n_words, q.word_chars, q.n_repeat_words) == (len(words), sum(map(len, words)), len(repeated))
         assert q.n_dup_lines == len(lines) - len(set(lines)) and q.n_symbols == len(re.findall(r"[#*$%&|<>]", r.text or ""))
         assert q.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (q.base_failed and q.kept)
-    boiler = [r for r in docs.collect() if "All rights" in (r.text or "")]  # 83 at two hosts, a few without one
-    assert all((by_id[r.doc_id].n_removed_words > 0) == (r.source is not None) for r in boiler)
-    assert all(by_id[r.doc_id].kept == (r.text.count("All rights") == 1 or r.source is None) or by_id[r.doc_id].base_failed for r in boiler)
+    boiler = [r for r in docs.collect() if "All rights" in (r.text or "")]  # 83 at two hosts and without one
+    assert all(by_id[r.doc_id].n_removed_words > 0 for r in boiler)
+    assert all(by_id[r.doc_id].kept == (r.text.count("All rights") == 1) or by_id[r.doc_id].base_failed for r in boiler)
 
 
 def test_quality_removes_frequent_lines(docs):
     kept = quality.line_quality(docs, keep=True)
     assert kept.columns[: len(docs.columns)] == docs.columns
-    assert kept.where("source is not null and text like '%All rights reserved%'").count() == 0
+    assert kept.where("text like '%All rights reserved%'").count() == 0
     assert kept.where("text is null").count() == 1 and kept.count() == docs.count()
 
 
@@ -197,15 +197,35 @@ def test_pipeline_dedup_of_null_and_repeated_ids(spark):
     assert found.columns == ["doc_id", "text"] and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
 
 
-def test_quality_of_small_and_hot_hosts(spark, docs):
-    same(quality.line_quality(docs, either=True), docs, quality.SQL_EITHER)
+def test_quality_of_odd_tables(spark):
+    schema = "doc_id long, text string, source string, _q_x int, kept boolean"
+    assert quality.line_quality(spark.createDataFrame([], schema)).collect() == []
+    assert quality.line_quality(spark.createDataFrame([], schema), keep=True).collect() == []
+    long = "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} of many" for k in range(9000))
+    rows = [(None, "a b\nfoot", "h"), (None, "a b\nfoot", "h"), (1, "c d\nfoot", "h"), (1, "e f\nfoot", "h"), (2, long + "\nfoot", "h"), (3, None, "h")]
+    table = spark.createDataFrame([(*r, 5, True) for r in rows], schema).repartition(3)
+    found = sorted((repr(r.doc_id), r.n_words, r.n_removed_words) for r in quality.line_quality(table).collect())
+    assert found == sorted([("None", 3, 1), ("None", 3, 1), ("1", 3, 1), ("1", 3, 1), ("2", 36001, 1), ("3", 0, 0)])
+    kept = quality.line_quality(table, keep=True)
+    assert kept.columns[:5] == table.columns and sorted(r.text or "" for r in kept.collect()) == sorted(["a b", "a b", "c d", "e f", long, ""])
+
+
+def test_line_dedup_of_long_texts_and_clashing_columns(spark):
+    lines = [f"line {k}" for k in range(20_000)]
+    rows = [(1, "\n".join(lines), 7, "x"), (2, "\n".join(lines[5000:5010] + ["own"]), 8, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, key string")
+    found = {r.doc_id: r for r in linededup.dedup_lines(table).collect()}
+    assert found[1].n_lines == 20_000 and found[1].n_removed_lines == 0 and (found[2].text, found[2].n_removed_lines, found[2].key) == ("own", 10, "y")
+
+
+def test_quality_of_small_and_hot_hosts(spark):
     letters = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
     rows = []
     for host, size, holders in (("small", 10, 3), ("hot", 600, 21), ("pair", 4, 2)):
         own = [" ".join(f"{host}{letters(k)}{letters(j)}" for j in range(60)) for k in range(size)]
         rows += [(len(rows) + k, "Footer of all\n" + t if k < holders else t, host) for k, t in enumerate(own)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r.doc_id: r.n_removed_words for r in quality.line_quality(table, either=True).collect()}
+    found = {r.doc_id: r.n_removed_words for r in quality.line_quality(table).collect()}
     assert found == {i: 3 * (t.startswith("Footer") and s != "pair") for i, t, s in rows}
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .flat import U64, _mix
 from .graph import components
-from .session import arrow_rows, stage
+from .session import arrow_rows, made, stage, sweep
 
 DIRECTIONS, FANOUT = 8, 8
 RUN, TILE = 64, 8  # rows of a run, which has a box, and runs of a tile, which is compared at once
@@ -275,7 +275,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     but not a vector the links are added up. Other columns are not read; an empty table gives an
     empty result.
     """
-    spark = df.sparkSession
+    spark, mark = df.sparkSession, made()
     vectors = stage(_read(df, id_col, vec_col), "grid-vectors")
     good = vectors.where("raw is not null")
     classes = stage(good.groupBy("dim", "sig1", "sig2").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "grid-classes")
@@ -302,6 +302,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     counts = found.where("b is null").groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("n"))
     out = classes.select("dim", "sig1", "sig2", F.col("vec").alias("rep"), "copies").join(counts.withColumnRenamed("vec", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = stage(out.select("dim", "sig1", "sig2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "grid-classes")
+    sweep(mark, vectors, out)
     joined = good.select("vec", "dim", "sig1", "sig2").join(out, ["dim", "sig1", "sig2"]).select("vec", "n_links", "component_id")
     alone = vectors.where("raw is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
     return joined.union(alone).select(F.col("vec").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import stage
+from .session import made, stage, sweep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     path of n links needs about log n rounds. Minima are combined before they are shuffled, and
     each round's labels are written to the shared folder.
     """
+    mark = made()
     edges = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = stage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -22,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("its"))
         new = stage(lower.join(jump, lower["low"] == jump["to"], "left").select("node", "component", F.least("low", "its").alias("new")), "labels")
-        labels = new.select("node", F.col("new").alias("component"))
-        if new.where("new <> component").isEmpty():
+        labels, done = new.select("node", F.col("new").alias("component")), new.where("new <> component").isEmpty()
+        if done:
+            sweep(mark, labels)
             return labels
+        sweep(mark, labels, edges)

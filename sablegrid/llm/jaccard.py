@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .flat import U64, Texts, _mix, ascii_words, blocks, expand, hash_ranges
 from .graph import components
-from .session import arrow_rows, stage
+from .session import arrow_rows, made, stage, sweep
 
 WORDS = 5
 SCAN_COST = 4
@@ -444,7 +444,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of 64 bits (the first 56 of them in pair tests). Other columns are not read; an empty
     table gives an empty result.
     """
-    spark = df.sparkSession
+    spark, mark = df.sparkSession, made()
     signed = stage(_signatures(df, id_col, text_col, words), "jaccard-sets")
     filled = signed.where("n > 0 and doc is not null")
     classes = stage(filled.groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep")), "jaccard-classes")
@@ -456,6 +456,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
         classes = stage(classes, "jaccard-classes")
+    sweep(mark, signed, classes)
     out = filled.join(classes, ["n", "sig1", "sig2"]).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
     alone = signed.where("not (n > 0 and doc is not null)").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     return out.union(alone)

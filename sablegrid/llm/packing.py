@@ -54,7 +54,8 @@ def pack(df: DataFrame, path: str, end: int = 2, window: int = 4096, id_col: str
     tokens = stage(tokenize(df, path, end, id_col, text_col), "packing")
     totals = sorted(tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row for each scan partition
     ends = np.cumsum([r["n"] for r in totals]) if totals else np.zeros(0, np.int64)
-    bases = {r["part"]: int(e - r["n"]) for r, e in zip(totals, ends, strict=True)}
+    # One entry for each scan partition.
+    shared = df.sparkSession.sparkContext.broadcast({r["part"]: int(e - r["n"]) for r, e in zip(totals, ends, strict=True)})
     total = int(ends[-1]) if len(ends) else 0
     long = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "padded_length")
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in long), *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
@@ -62,7 +63,7 @@ def pack(df: DataFrame, path: str, end: int = 2, window: int = 4096, id_col: str
     padded = tail if tail and tail & (tail - 1) == 0 else window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = library_tokens(path).dtype
+        dtype, bases = library_tokens(path).dtype, shared.value
         for batch in blocks(batches, "ids"):
             base = np.array([bases[p] for p in batch.column("part").to_pylist()], np.int64)
             n = batch.column("n").to_numpy()

@@ -1,16 +1,18 @@
-"""Session helpers shared by the corpus operators: shared folder, worker import path, stage tables."""
+"""Session helpers shared by the corpus operators: worker import path, stage tables and their end."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import delete, shared_dir  # noqa: F401
+from ..session import new_path as _new_path
+
 ROOT = str(Path(__file__).resolve().parents[2])
+_MADE: list[str] = []  # paths of this driver's stage tables that still stand, the oldest first
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,29 +24,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a local folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/sablegrid-{os.getuid()}/shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; what is there goes when the driver ends, as results are lazy."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    path = _new_path(spark, what)
+    _MADE.append(path)
     return path
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete(spark, path)
+def made() -> int:
+    """A mark for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(since: int, *kept: DataFrame) -> None:
+    """Remove the tables made since a mark but those that the ``kept`` ones are read from."""
+    names = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}  # a table's folder has a name of its own
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[-1] not in names:
+            delete(kept[0].sparkSession, path)
+            _MADE.remove(path)
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
@@ -59,12 +57,6 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -233,15 +233,17 @@ class _Counts:
         self.keys, self.held = [], []
         base = np.cumsum([0, *(c.rows for c in parts)])[:-1].tolist()
         # Each distinct word of each document once.
-        held_words = [np.unique(np.stack([c.row + first, c.number]), axis=1) for c, first in zip(parts, base, strict=True)]
+        held_words = []
+        for c, first in zip(parts, base, strict=True):
+            words = max(c.stems.shape[1], 1)
+            row, number = np.divmod(np.unique(c.row * words + c.number), words)
+            held_words.append((row + first, number))
         for k in range(STEM + 1):
-            rows, keys = [], []
+            keys = []
             for (row, number), c in zip(held_words, parts, strict=True):
-                stem = c.stems[k][number]
-                ill = (toxic[row] == 1) & (stem != 0)
-                pair = np.unique(np.stack([row[ill].astype(np.uint64), stem[ill]]), axis=1)
-                rows.append(pair[0].astype(np.int64))
-                keys.append(pair[1])
+                stems, of = np.unique(c.stems[k], return_inverse=True)
+                ill = (toxic[row] == 1) & (c.stems[k][number] != 0)
+                keys.append(stems[np.unique(row[ill] * len(stems) + of[number[ill]]) % len(stems)] if ill.any() else stems[:0])
             known, n = np.unique(np.concatenate(keys), return_counts=True)
             known = known[n >= LEAST_DOCUMENTS]
             held = np.zeros((2, FOLDS, len(known)), np.int64)
@@ -249,8 +251,8 @@ class _Counts:
                 stem = c.stems[k][number]
                 at = np.minimum(np.searchsorted(known, stem), len(known) - 1)
                 hit = known[at] == stem
-                row, at = np.unique(np.stack([row[hit], at[hit]]), axis=1)
-                np.add.at(held, (toxic[row], fold[row], at), 1)
+                once, at = np.divmod(np.unique(row[hit] * len(known) + at[hit]), len(known))
+                np.add.at(held, (toxic[once], fold[once], at), 1)
             self.keys.append(known)
             self.held.append(held)
 

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -243,3 +244,21 @@ def test_jaccard_keys_keep_56_bits(spark, monkeypatch, partitions):
     assert len(both) == 19 and len(seen) == 2
     for r in seen:
         assert np.array_equal(np.sort(np.frombuffer(r.shared, "<u8")), both)
+
+
+def test_tables_of_a_search_go_when_it_is_done(docs):
+    mark = session.made()
+    found = jaccard.jaccard_components(docs)
+    assert session.made() - mark == 2 and found.count() == docs.count()
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = docs.limit(6).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(4))
+    nulls = spark.createDataFrame([(None, None, None, None, None), (7, "", None, None, 0), (8, "x " * 30_000, "en", None, None)], docs.schema)
+    for name, table in (("full", docs.union(extra).union(nulls)), ("empty", docs.limit(0))):
+        clashing = table.withColumns({"_weight": F.lit(1), "n": F.lit("x"), "component_id": F.lit(2.0), "score": F.lit(True)})
+        clashing.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert any(r.doc_id is None for r in packed) and all(r.length > 0 for r in packed)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []

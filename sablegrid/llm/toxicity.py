@@ -8,7 +8,7 @@ clause, a target near a match aims it, and a match that stands among other words
 composed into one table that reads clauses from left to right, and the last two into one that reads
 them from right to left, for targets and words that come after. What is neither aimed nor asserted at
 the end, a word that is a clause by itself, counts nothing. A document's score is the logistic value of
-its clauses' matches by form, with weights fitted to the labels.
+its clauses' matches by form and of its length, with weights fitted to the labels.
 
 Texts are read as one stream of signs with an end after each clause, cut into chunks that run side by
 side. An end brings every state back to the first, so only chunks without one need a map of all states;
@@ -32,7 +32,7 @@ from .langid import held_out, sample_rows
 SAMPLE = 4000  # labelled documents that the grammar is fitted on, as many of each label, the first by a hash of the id
 SAMPLE_CHARS = 20_000  # of a sampled text that are read; SAMPLE and this bound what the driver holds
 STEM = 10  # longest stem in letters
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_ODDS = 3, 0.02, 20.0  # a stem's toxic documents, their share, and its odds
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 20.0  # a stem's toxic documents, their share, and its odds
 # Seed words of the grammar, in the corpus's four languages.
 THREATS = "kill killing hurt destroy beat burn stab shoot strangle punish töten umbringen verprügeln tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yourself he she they them him her his their this that these those who du dich dein ihr euch euer sie er dieser diese tu te toi ton vous votre il elle ils cette ce tú usted ustedes él ella ellos este esta".split()
@@ -42,8 +42,9 @@ REPORTS = "said says say told tells wrote writes claimed claims quoted quotes re
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, END, ASSERTED_INSULT, AIMED_INSULT, ASSERTED_THREAT, AIMED_THREAT = range(11)
 SIGNS = 11
 FORMS = {"asserted": ASSERTED_INSULT, "aimed": AIMED_INSULT, "asserted_threat": ASSERTED_THREAT, "aimed_threat": AIMED_THREAT}
-#: What the fitted weights of the forms, and the bias, are drawn to where labels say little.
-PRIOR = np.array([3.0, 0.5, 1.0, 3.0, -4.0])
+#: What the fitted weights of the forms, of the text's length and the bias are drawn to where labels say little.
+PRIOR = np.array([3.0, 0.5, 1.0, 3.0, 0.0, -4.0])
+LOWEST, HIGHEST = np.array([0.0] * 4 + [-np.inf] * 2), np.array([np.inf] * 4 + [0.0, np.inf])
 THREAT_WEIGHT = 4.0
 REACH = 3  # words that a negation governs, and that a target may stand away
 CHUNK = 128  # signs that a chunk of the stream holds
@@ -178,7 +179,7 @@ def _seed_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grammar:
-    """The word transducer's stems, and the weights of the forms with the bias last."""
+    """The word transducer's stems, and the weights of the forms, of the length and the bias."""
 
     def __init__(self, stems: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
         self.stems, self.weights, self.seeds = stems, weights, _seed_table()
@@ -207,18 +208,20 @@ class Grammar:
 
     def scores(self, c: Clauses) -> np.ndarray:
         """Scores from 0 to 1."""
-        return 1 / (1 + np.exp(-np.clip(_features(self.forms(c)) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_features(self.forms(c), c) @ self.weights, -30, 30)))
 
 
-def _features(forms: np.ndarray) -> np.ndarray:
-    """What the clauses of a text say together by form, on a logarithmic scale, and a one for the bias.
+def _features(forms: np.ndarray, *blocks_of: Clauses) -> np.ndarray:
+    """What the clauses of a text say together by form, and its length, on logarithmic scales, and a one for the bias.
 
-    Aimed matches count as asserted ones too, so that aiming adds to a match.
+    Aimed matches count as asserted ones too, so that aiming adds to a match. Long texts hold more matches
+    by chance.
     """
     both = forms.copy()
     both[:, 0] += forms[:, 1]
     both[:, 2] += forms[:, 3]
-    return np.c_[np.log1p(both), np.ones(len(forms))]
+    words = np.concatenate([np.bincount(c.row, minlength=c.rows) for c in blocks_of])
+    return np.c_[np.log1p(both), np.log1p(words / 100), np.ones(len(forms))]
 
 
 FOLDS = 4
@@ -276,7 +279,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     """
     toxic = np.array(labels, np.int64)
     if len(set(labels)) < 2:
-        return Grammar([_table({})] * (STEM + 1), np.array([0.0] * len(FORMS) + [-30.0]))
+        return Grammar([_table({})] * (STEM + 1), np.array([0.0] * (len(FORMS) + 1) + [-30.0]))
     parts = [clauses(pa.array(texts[i : i + 200], pa.large_string())) for i in range(0, len(texts), 200)]
     fold = np.arange(len(texts)) % FOLDS
     counts = _Counts(parts, toxic, fold)
@@ -285,12 +288,25 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
         grammar = Grammar(counts.stems(k), PRIOR)
         own = np.concatenate([grammar.forms(c) for c in parts])
         forms[fold == k] = own[fold == k]
-    a, w = _features(forms), PRIOR.copy()
+    a, w = _features(forms, *parts), PRIOR.copy()
     stands = np.ones(len(texts)) if weights is None else np.array(weights) / np.mean(weights)
-    for _ in range(60):  # Newton steps of a logistic fit drawn to the prior; no match speaks against toxicity
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(stands @ (np.logaddexp(0, z) - toxic * z)) + float((w - PRIOR) @ (w - PRIOR)) / 2
+
+    for _ in range(60):  # Newton steps of a logistic fit drawn to the prior; no match speaks against toxicity, and no length for it
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve(a.T @ (a * (stands * p * (1 - p))[:, None]) + np.eye(len(w)), a.T @ (stands * (p - toxic)) + w - PRIOR)
-        w[:-1] = np.maximum(w[:-1], 0.0)
+        step = np.linalg.solve(a.T @ (a * (stands * p * (1 - p))[:, None]) + np.eye(len(w)), a.T @ (stands * (p - toxic)) + w - PRIOR)
+        now = loss(w)
+        for _ in range(30):  # halved until the loss falls
+            new = np.clip(w - step, LOWEST, HIGHEST)
+            if loss(new) < now:
+                break
+            step /= 2
+        else:
+            break
+        w = new
     return Grammar(counts.stems(), w)
 
 

@@ -36,6 +36,8 @@ from .session import arrow_rows, made, stage, sweep
 DIRECTIONS, FANOUT = 8, 8
 RUN, TILE = 64, 8  # rows of a run, which has a box, and runs of a tile, which is compared at once
 SAMPLE = 10_000  # vectors that the principal directions are fitted on; any directions give whole results
+LEAST_SAMPLE = 100  # vectors of a length from which its directions are fitted
+APART = 10.0  # distance on the grid between vectors whose lengths differ by one
 PIECE_BYTES = 512 << 10  # of the sequence in one row
 BLOCKS, BLOCK_BYTES = 8, 8 << 20  # blocks that the sequence is cut into, or more so that none is larger
 
@@ -71,55 +73,107 @@ def _unit(raws: list[bytes], rows: int | None = None) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _directions(classes: DataFrame) -> np.ndarray:
-    """Leading principal directions of a bounded sample, the first vectors by a hash of the id."""
-    raws = [bytes(r["raw"]) for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("raw").collect()]
-    x = _unit(raws)
-    _, vectors = np.linalg.eigh((x - x.mean(0)).T @ (x - x.mean(0)))
-    return np.ascontiguousarray(vectors[:, ::-1][:, :DIRECTIONS])
+def _axes(sample: np.ndarray) -> np.ndarray:
+    """Leading principal directions of unit vectors, with zeros where there are fewer."""
+    middle = sample - sample.mean(0)
+    _, vectors = np.linalg.eigh(middle.T @ middle)
+    found = vectors[:, ::-1][:, :DIRECTIONS]
+    return np.ascontiguousarray(np.pad(found, ((0, 0), (0, DIRECTIONS - found.shape[1]))))
 
 
-def _ordered(classes: DataFrame, directions: np.ndarray, width: float) -> DataFrame:
-    cells = directions.shape[1]
-    schema = T.StructType([T.StructField("vec", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("raw", T.BinaryType()), *(T.StructField(f"c{k}", T.IntegerType()) for k in range(cells))])
+class Directions:
+    """The directions of each vector length: principal ones where the sample holds enough, else the first axes."""
+
+    def __init__(self, classes: DataFrame):
+        """From a bounded sample, the first vectors by a hash of the id."""
+        rows = classes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("dim", "raw").collect()
+        by_length: dict[int, list[bytes]] = {}
+        for dim, raw in rows:
+            by_length.setdefault(dim, []).append(bytes(raw))
+        self.known = {dim: _axes(_unit(raws)) for dim, raws in by_length.items() if len(raws) >= LEAST_SAMPLE}
+
+    def __getitem__(self, dim: int) -> np.ndarray:
+        if dim not in self.known:
+            return np.eye(dim, DIRECTIONS)
+        return self.known[dim]
+
+
+def _ordered(classes: DataFrame, shared, width: float) -> DataFrame:
+    """Vectors in grid order: by length, cells on the directions, and a hash."""
+    schema = T.StructType([T.StructField("vec", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("dim", T.IntegerType()), *(T.StructField(f"c{k}", T.IntegerType()) for k in range(DIRECTIONS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = shared.value
         for batch in batches:
-            if batch.num_rows:
-                cell = np.floor(_unit(batch.column("raw").to_pylist()) @ directions / width).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("copies"), batch.column("raw"), *map(pa.array, np.ascontiguousarray(cell.T))], names=schema.names)
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                cell = np.floor(_unit(own.column("raw").to_pylist()) @ directions[dim] / width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column("vec"), own.column("copies"), own.column("raw"), own.column("dim"), *map(pa.array, np.ascontiguousarray(cell.T))], names=schema.names)
 
-    order = [*(f"c{k}" for k in range(cells)), F.xxhash64("vec")]  # the hash cuts a crowded cell
-    return classes.select("vec", "copies", "raw").mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["dim", *(f"c{k}" for k in range(DIRECTIONS)), F.xxhash64("vec")]  # the hash cuts a crowded cell
+    return classes.select("vec", "copies", "raw", "dim").mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _pieces(ordered: DataFrame, directions: np.ndarray, dim: int) -> DataFrame:
-    """The sequence as pieces: (part, place, ids, copies, raw, low, high); place counts rows of the part before it."""
-    rows = max(RUN, PIECE_BYTES // (8 * dim))
+def _pieces(ordered: DataFrame, shared) -> DataFrame:
+    """The sequence as pieces: (dim, part, place, ids, copies, raw, low, high); place counts rows of the length and part before it.
+
+    The first side of a box is the length, on a scale that sets different ones apart.
+    """
     box = T.ArrayType(T.DoubleType())
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("ids", "copies", "raw")), T.StructField("low", box), T.StructField("high", box)])
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("ids", "copies", "raw")), T.StructField("low", box), T.StructField("high", box)])
+    arrow = pa.schema([("dim", pa.int32()), ("part", pa.int64()), ("place", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("raw", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, held = TaskContext.get().partitionId(), 0, []
+        directions, part, place, held, now = shared.value, TaskContext.get().partitionId(), 0, [], None
 
         def send(table: pa.Table) -> pa.RecordBatch:
             raws = table.column("raw").to_pylist()
-            at = _unit(raws) @ directions
+            at = _unit(raws) @ directions[now]
             ids, copies = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec", "copies"))
-            return pa.RecordBatch.from_pylist([{"part": part, "place": place, "ids": ids, "copies": copies, "raw": b"".join(raws), "low": at.min(0).tolist(), "high": at.max(0).tolist()}], schema=pa.schema([("part", pa.int64()), ("place", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("raw", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+            apart = [float(APART * now)]
+            return pa.RecordBatch.from_pylist([{"dim": now, "part": part, "place": place, "ids": ids, "copies": copies, "raw": b"".join(raws), "low": apart + at.min(0).tolist(), "high": apart + at.max(0).tolist()}], schema=arrow)
 
         for batch in batches:
-            held.append(batch.select(["vec", "copies", "raw"]))
-            while sum(map(len, held)) >= rows:
-                table = pa.Table.from_batches(held)
-                yield send(table.slice(0, rows))
-                place, held = place + rows, table.slice(rows).to_batches()
-        if sum(map(len, held)):
+            dims = batch.column("dim").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if dims[a] != now:
+                    if held:
+                        yield send(pa.Table.from_batches(held))
+                    now, place, held = int(dims[a]), 0, []
+                held.append(batch.slice(a, b - a).select(["vec", "copies", "raw"]))
+                rows = max(RUN, PIECE_BYTES // (8 * now))
+                while sum(map(len, held)) >= rows:
+                    table = pa.Table.from_batches(held)
+                    yield send(table.slice(0, rows))
+                    place, held = place + rows, [x for x in table.slice(rows).to_batches() if len(x)]
+        if held:
             yield send(pa.Table.from_batches(held))
 
     return ordered.mapInArrow(run, schema)
 
 
+def _in_blocks(pieces: DataFrame) -> tuple[DataFrame, int]:
+    """The pieces with the number of their block, and the number of blocks; a block has one length of vectors."""
+    parts = sorted(map(tuple, pieces.groupBy("dim", "part").agg(F.sum(F.octet_length("ids") / 8).cast("long")).collect()))  # a row for each partition of the sequence and length in it
+    totals: dict[int, int] = {}
+    for dim, _, n in parts:
+        totals[dim] = totals.get(dim, 0) + n
+    bases, first, seen, blocks = [], {}, {}, 0
+    for dim, total in sorted(totals.items()):
+        rows = max(RUN, min(-(-total // BLOCKS), BLOCK_BYTES // (8 * dim)))
+        first[dim], blocks = (blocks, rows), blocks - (-total // rows)
+    for dim, part, n in parts:
+        bases.append((dim, part, seen.get(dim, 0), *first[dim]))
+        seen[dim] = seen.get(dim, 0) + n
+    table = pieces.sparkSession.createDataFrame(bases, "dim int, part long, base long, block0 long, rows long")
+    numbered = pieces.join(F.broadcast(table), ["dim", "part"])
+    return numbered.withColumn("block", F.col("block0") + F.floor((F.col("base") + F.col("place")) / F.col("rows"))).drop("base", "block0", "rows"), blocks
+
+
 def _interval_pairs(boxes: DataFrame, count: int, far: float) -> DataFrame:
     """Pairs (i, j), i <= j, of blocks that are not provably distant; intervals are split level by level."""
     tops = 0
@@ -129,7 +183,7 @@ def _interval_pairs(boxes: DataFrame, count: int, far: float) -> DataFrame:
     for level in range(tops - 1, -1, -1):
         side = FANOUT**level
         node = F.floor(F.col("block") / side).alias("node")
-        dims = range(DIRECTIONS)
+        dims = range(DIRECTIONS + 1)
         merged = boxes.groupBy(node).agg(*(F.min(F.get("low", F.lit(k))).alias(f"l{k}") for k in dims), *(F.max(F.get("high", F.lit(k))).alias(f"h{k}") for k in dims))
         merged = stage(merged, "grid-boxes")
         one, two = (merged.select(*(F.col(c).alias(f"{c}{s}") for c in merged.columns)) for s in "ab")
@@ -224,7 +278,7 @@ def _join_blocks(x, y, cx, cy, directions, same: bool, cosine: float, far: float
     return nx, ny, _forest(edges, base + len(y))[0] if edges else np.zeros((2, 0), np.int64)
 
 
-def _compare(pairs: DataFrame, pieces: DataFrame, directions: np.ndarray, cosine: float, far: float) -> DataFrame:
+def _compare(pairs: DataFrame, pieces: DataFrame, shared, cosine: float, far: float) -> DataFrame:
     """Rows (a, n, b): a count of links of a, or a link of the spanning forest where b is set.
 
     Each block goes once to each of its pairs, piece by piece, and every pair is a group of its own.
@@ -243,7 +297,7 @@ def _compare(pairs: DataFrame, pieces: DataFrame, directions: np.ndarray, cosine
             sides.append((ids, copies, _unit([h[2] for h in own], len(ids))))
         (ix, cx, x), (iy, cy, y) = sides[0], sides[-1]
         same = len(sides) == 1
-        nx, ny, (one, two) = _join_blocks(x, y, cx, cy, directions, same, cosine, far)
+        nx, ny, (one, two) = _join_blocks(x, y, cx, cy, shared.value[x.shape[1]], same, cosine, far)
         ids = ix if same else np.concatenate([ix, iy])
         who, n = np.concatenate([ix, iy[: len(ny)]]), np.concatenate([nx, ny])
         who, n = who[n > 0], n[n > 0]
@@ -280,31 +334,21 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     good = vectors.where("raw is not null")
     classes = stage(good.groupBy("dim", "sig1", "sig2").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "grid-classes")
     far = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9)
-    found = None
-    for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):  # a table mostly has one length
-        own = classes.where(F.col("dim") == dim)
-        directions = _directions(own)
-        if directions.shape[1] < DIRECTIONS:
-            directions = np.pad(directions, ((0, 0), (0, DIRECTIONS - directions.shape[1])))
-        pieces = stage(_pieces(_ordered(own, directions, far), directions, dim), "grid-blocks")
-        parts = sorted(map(tuple, pieces.groupBy("part").agg(F.sum(F.octet_length("ids") / 8).cast("long")).collect()))  # one row for each partition of the sequence
-        total = sum(n for _, n in parts)
-        rows = max(RUN, min(-(-total // BLOCKS), BLOCK_BYTES // (8 * dim)))
-        bases = spark.createDataFrame(zip([p for p, _ in parts], np.cumsum([0, *(n for _, n in parts)]).tolist()), "part long, base long")
-        pieces = pieces.join(F.broadcast(bases), "part").withColumn("block", F.floor((F.col("base") + F.col("place")) / rows)).drop("base")
-        pairs = _interval_pairs(pieces.select("block", "low", "high"), -(-total // rows), far)
-        with arrow_rows(spark, 8):
-            near = stage(_compare(pairs, pieces, directions, cosine, far), "grid-links")
-        found = near if found is None else found.union(near)
-    if found is None:
-        return vectors.select(F.col("vec").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept"))
+    alone = vectors.where("raw is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
+    if classes.isEmpty():
+        return alone.select(F.col("vec").alias(id_col), "n_links", "component_id", F.lit(True).alias("kept"))
+    shared = spark.sparkContext.broadcast(Directions(classes))  # at most SAMPLE / LEAST_SAMPLE small matrices
+    pieces = stage(_pieces(_ordered(classes, shared, far), shared), "grid-blocks")
+    pieces, blocks = _in_blocks(pieces)
+    pairs = _interval_pairs(pieces.select("block", "low", "high"), blocks, far)
+    with arrow_rows(spark, 8):
+        found = stage(_compare(pairs, pieces, shared, cosine, far), "grid-links")
     labels = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("n"))
     out = classes.select("dim", "sig1", "sig2", F.col("vec").alias("rep"), "copies").join(counts.withColumnRenamed("vec", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = stage(out.select("dim", "sig1", "sig2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "grid-classes")
     sweep(mark, vectors, out)
     joined = good.select("vec", "dim", "sig1", "sig2").join(out, ["dim", "sig1", "sig2"]).select("vec", "n_links", "component_id")
-    alone = vectors.where("raw is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
     return joined.union(alone).select(F.col("vec").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

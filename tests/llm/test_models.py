@@ -244,6 +244,19 @@ def test_embeddings_of_one_length_in_large_tiles(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in epsgrid.near_vectors(df).collect()} == brute(rows)
 
 
+def test_embeddings_of_many_lengths(spark, monkeypatch):
+    for name, value in (("PIECE_BYTES", 512), ("BLOCK_BYTES", 1 << 10), ("RUN", 4), ("LEAST_SAMPLE", 20)):
+        monkeypatch.setattr(epsgrid, name, value)
+    rng = np.random.default_rng(5)
+    rows = []
+    for length in (1, 2, 3, 7, 30, 31):
+        centres = rng.normal(size=(3, length))
+        rows += [(centres[k % 3] + rng.normal(size=length) * rng.choice([0.05, 0.5])).tolist() for k in range(12 if length == 7 else 45)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in epsgrid.near_vectors(df).collect()} == brute(rows)
+
+
 def test_embeddings_of_repeated_and_null_ids(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, n_links int")

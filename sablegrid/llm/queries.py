@@ -26,7 +26,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of repeated three-line windows."""
-    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return linededup.dedup_lines(documents(spark, sf_dir, dealt=False).select("doc_id", "text"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

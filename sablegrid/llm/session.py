@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import delete, shared_dir  # noqa: F401
+from ..session import delete, shared_dir, spread  # noqa: F401
 from ..session import new_path as _new_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -57,9 +57,10 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ``documents`` table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """The whole ``documents`` table, ``dealt`` over all cores if it is in few files."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table) if dealt else table
 
 
 @contextmanager

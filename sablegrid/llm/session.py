@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -12,7 +13,13 @@ from ..session import delete, shared_dir, spread  # noqa: F401
 from ..session import new_path as _new_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
-_MADE: list[str] = []  # paths of this driver's stage tables that still stand, the oldest first
+_OWN = threading.local()  # paths of each thread's stage tables that still stand, the oldest first
+
+
+def _made() -> list[str]:
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,22 +34,22 @@ def ship(spark: SparkSession) -> SparkSession:
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; what is there goes when the driver ends, as results are lazy."""
     path = _new_path(spark, what)
-    _MADE.append(path)
+    _made().append(path)
     return path
 
 
 def made() -> int:
     """A mark for ``sweep``."""
-    return len(_MADE)
+    return len(_made())
 
 
 def sweep(since: int, *kept: DataFrame) -> None:
-    """Remove the tables made since a mark but those that the ``kept`` ones are read from."""
+    """Remove the tables that this thread made since a mark, but those that the ``kept`` ones are read from."""
     names = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}  # a table's folder has a name of its own
-    for path in _MADE[since:]:
+    for path in _made()[since:]:
         if path.rsplit("/", 1)[-1] not in names:
             delete(kept[0].sparkSession, path)
-            _MADE.remove(path)
+            _made().remove(path)
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
